@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, mixing, simhash
+import public_tokenizers
+
+from . import chat_format, decontaminate, fingerprint, mixing, simhash, token_codes
 from .common import table
 
 
@@ -14,6 +16,19 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return token_codes.read_codes(token_codes.write_codes(table(spark, sf_dir, "documents"), vocabulary, end_id=1))
+
+
+def op6_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
 
@@ -24,8 +39,8 @@ def op10_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pareto_mix, op9_simhash_ball, op10_prefix_target_chat)}
+    return {f.__name__: f for f in (op1_pareto_mix, op3_multiset_fingerprint, op5_token_codes, op6_prefix_filter_decontamination, op9_simhash_ball, op10_prefix_target_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mix": mixing.ORACLE, "op10_prefix_target_chat": chat_format.ORACLE}
+    return {"op1_pareto_mix": mixing.ORACLE, "op6_prefix_filter_decontamination": decontaminate.ORACLE, "op10_prefix_target_chat": chat_format.ORACLE}
