@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import chat_format, decontaminate, fingerprint, mixing, simhash, token_codes
+from . import chat_format, decontaminate, fingerprint, html_extract, mixing, quality, simhash, token_codes
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return token_codes.read_codes(token_codes.write_codes(table(spark, sf_dir, "documents"), vocabulary, end_id=1))
@@ -29,6 +33,10 @@ def op6_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_template_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
 
@@ -39,7 +47,7 @@ def op10_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pareto_mix, op3_multiset_fingerprint, op5_token_codes, op6_prefix_filter_decontamination, op9_simhash_ball, op10_prefix_target_chat)}
+    return {f.__name__: f for f in (op1_pareto_mix, op3_multiset_fingerprint, op4_nb_svm_quality, op5_token_codes, op6_prefix_filter_decontamination, op8_template_extract, op9_simhash_ball, op10_prefix_target_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
