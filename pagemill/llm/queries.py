@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import chat_format, decontaminate, fingerprint, html_extract, mixing, quality, simhash, token_codes
+from . import chat_format, decontaminate, fingerprint, html_extract, mixing, quality, simhash, substring_dedup, token_codes
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op6_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_seed_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedupe(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_template_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -47,8 +51,8 @@ def op10_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pareto_mix, op3_multiset_fingerprint, op4_nb_svm_quality, op5_token_codes, op6_prefix_filter_decontamination, op8_template_extract, op9_simhash_ball, op10_prefix_target_chat)}
+    return {f.__name__: f for f in (op1_pareto_mix, op3_multiset_fingerprint, op4_nb_svm_quality, op5_token_codes, op6_prefix_filter_decontamination, op7_seed_extend_dedup, op8_template_extract, op9_simhash_ball, op10_prefix_target_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pareto_mix": mixing.ORACLE, "op6_prefix_filter_decontamination": decontaminate.ORACLE, "op10_prefix_target_chat": chat_format.ORACLE}
+    return {"op1_pareto_mix": mixing.ORACLE, "op6_prefix_filter_decontamination": decontaminate.ORACLE, "op7_seed_extend_dedup": substring_dedup.ORACLE, "op10_prefix_target_chat": chat_format.ORACLE}
