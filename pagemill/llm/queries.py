@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import chat_format, decontaminate, fingerprint, html_extract, mixing, quality, simhash, substring_dedup, token_codes
+from . import chat_format, decontaminate, fingerprint, html_extract, mixing, quality, simhash, substring_dedup, suffix_dedup, token_codes
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedupe(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pareto_mix, op3_multiset_fingerprint, op4_nb_svm_quality, op5_token_codes, op6_prefix_filter_decontamination, op7_seed_extend_dedup, op8_template_extract, op9_simhash_ball, op10_prefix_target_chat)}
+    return {f.__name__: f for f in (op1_pareto_mix, op2_suffix_array_dedup, op3_multiset_fingerprint, op4_nb_svm_quality, op5_token_codes, op6_prefix_filter_decontamination, op7_seed_extend_dedup, op8_template_extract, op9_simhash_ball, op10_prefix_target_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
