@@ -110,6 +110,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` without the rows (doc_id, text_key) of ``found``: in place when those are few, else shuffled."""
+    names = found.select(F.col("doc_id").alias("g_doc"), F.col("text_key").alias("g_key"))
+    send = F.broadcast if found.count() <= BROADCAST_ROWS else (lambda df: df)
+    return docs.join(send(names), docs["doc_id"].eqNullSafe(names["g_doc"]) & (F.xxhash64(docs["text"]) == names["g_key"]), "left_anti")
+
+
 ORACLE = r"""
 WITH b AS (
   SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws

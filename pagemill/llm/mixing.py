@@ -71,35 +71,55 @@ def pareto_rank(u: Column, inclusion: Column) -> Column:
     return F.when(inclusion > 0, F.floor(q / (F.lit(1.0) + q) * float(1 << RANK_BITS)).cast("long"))
 
 
+def plan_mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), max_copies: int = 2, seed: int = 20, appetite: str | None = None) -> DataFrame:
+    """One row per source: m_source, source_size, target, pull, cut_rank, cut_taken."""
+    measure = F.col(appetite).cast("double") if appetite else F.lit(1.0)
+    slim = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), measure.alias("appetite")), "mix")
+    per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("appetite")).alias("pull"))
+    goal = source_targets(per_source.select("source", "source_size"), share, weights, max_copies)
+    goal = goal.join(per_source.select(F.col("source").alias("s_"), "pull"), F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
+    goal = staged(goal.withColumnRenamed("source", "m_source"), "goal")
+    whole, rank = _whole_and_rank(F.col("doc_id"), F.col("appetite"), max_copies, seed)
+    ranked = slim.join(goal, F.col("source").eqNullSafe(F.col("m_source"))).select("source", "size", "target", whole.alias("whole"), rank.alias("rank"))
+    cut = cut_ranks(staged(ranked, "ranked")).withColumnRenamed("source", "c_source")
+    return staged(goal.join(cut, F.col("m_source").eqNullSafe(F.col("c_source")), "left").drop("c_source"), "plan")
+
+
+def _whole_and_rank(doc_id: Column, appetite: Column, max_copies: int, seed: int) -> tuple[Column, Column]:
+    """Certain copies, and the Pareto rank for one more, from a row joined to its source's plan."""
+    expected = F.least(F.when(F.col("pull") > 0, F.col("target") * appetite / F.col("pull")).otherwise(F.lit(0.0)), F.lit(float(max_copies)))
+    whole = F.floor(expected).cast("long")
+    return whole, pareto_rank(uniform(doc_id, seed), expected - whole)
+
+
+def with_copies(docs: DataFrame, plan: DataFrame, max_copies: int = 2, seed: int = 20, appetite: str | None = None) -> DataFrame:
+    """``docs`` and how many copies the mix takes; a source's plan is one small row, so texts stay where they are."""
+    whole, rank = _whole_and_rank(F.col("doc_id"), F.col(appetite).cast("double") if appetite else F.lit(1.0), max_copies, seed)
+    extra = (rank < F.col("cut_rank")) | ((rank == F.col("cut_rank")) & F.col("cut_taken"))
+    copies = (whole + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)).cast("int")
+    return docs.join(plan, F.col("source").eqNullSafe(F.col("m_source")), "left").withColumn("copies", F.coalesce(copies, F.lit(0)))
+
+
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), max_copies: int = 2, seed: int = 20, appetite: str | None = None) -> DataFrame:
-    """``docs`` (doc_id, source, text, ...) -> doc_id, size, source_size, target, taken, copies, source.
+    """``docs`` (doc_id, source, text, ...) -> doc_id, source, size, source_size, target, taken, copies.
 
     One row per input row.  Null text has size 0 and takes nothing; a null source is a source of its
     own, last in order; rows that repeat a doc_id share its random number and are taken or left
     together; an empty table gives an empty result; other columns are ignored.
     """
-    measure = F.col(appetite).cast("double") if appetite else F.lit(1.0)
-    slim = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), measure.alias("appetite")), "mix")
-    per_source = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("appetite")).alias("pull"))
-    goal = source_targets(per_source.select("source", "source_size"), share, weights, max_copies)
-    goal = goal.join(per_source.select(F.col("source").alias("s_"), "pull"), F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
-    goal = staged(goal.withColumnRenamed("source", "g_source"), "goal")
-    expected = F.when(F.col("pull") > 0, F.col("target") * F.col("appetite") / F.col("pull")).otherwise(F.lit(0.0))
-    ranked = (
-        slim.join(goal, F.col("source").eqNullSafe(F.col("g_source")), "left")
-        .withColumn("expected", F.least(expected, F.lit(float(max_copies))))
-        .withColumn("whole", F.floor("expected").cast("long"))
-        .withColumn("rank", pareto_rank(uniform(F.col("doc_id"), seed), F.col("expected") - F.col("whole")))
-        .drop("g_source", "pull", "appetite", "expected")
-    )
-    ranked = staged(ranked, "ranked")
-    cut = cut_ranks(ranked)
-    extra = (F.col("rank") < F.col("cut_rank")) | ((F.col("rank") == F.col("cut_rank")) & F.col("cut_taken"))
-    copies = F.col("whole") + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)
-    return (
-        ranked.join(cut.withColumnRenamed("source", "c_source"), F.col("source").eqNullSafe(F.col("c_source")), "left")
-        .select("doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"), "source")
-    )
+    plan = plan_mix(docs, share, weights, max_copies, seed, appetite)
+    extra = [F.col(appetite).alias("m_appetite")] if appetite else []
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *extra)
+    taken = with_copies(slim, plan, max_copies, seed, "m_appetite" if appetite else None)
+    return taken.select("doc_id", "source", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the rows of ``docs`` with all their columns, each as often as it is taken."""
+    plan = plan_mix(docs, **options)
+    kept = {k: v for k, v in options.items() if k in ("max_copies", "seed", "appetite")}
+    taken = with_copies(docs.select("*", F.struct("*").alias("m_row")).select("doc_id", "source", "m_row", *([options["appetite"]] if options.get("appetite") else [])), plan, **kept)
+    return taken.where("copies > 0").select("m_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("m_copy")).select("m_row.*")
 
 
 def cut_ranks(ranked: DataFrame) -> DataFrame:

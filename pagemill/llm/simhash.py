@@ -18,10 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import BROADCAST_BYTES, mix64
 from .common import staged, tasks
 from .components import connected_components
 
 BITS = 64
+#: The wide fingerprint has this many bits in all; its families are cut from it.
+WIDE = 256
 
 
 def simhash(text: str | None, shingle: int = 3, fold: bool = True) -> int:
@@ -110,3 +113,114 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, fold: bo
     named = rooted.join(names, "root").select(F.col("fp").alias("n_fp"), "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return fps.join(named, F.col("fp") == F.col("n_fp")).select("doc_id", hexed, "component_id")
+
+
+# ---------------------------------------------------------------- lower similarity
+
+# Two texts of five-word shingles that are 0.8 alike differ in about 0.15 of their SimHash bits, far
+# beyond a radius that 64 bits can cover by variants.  So several narrow fingerprints are cut from one
+# wide one, each is ball-hashed by itself, and what meets in any family is verified on all bits.
+
+
+def wide_simhash(text: str | None, shingle: int = 5) -> np.ndarray:
+    """WIDE majority bits over the hashes of all word shingles, as unsigned longs; zero without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - shingle + 1)
+    if not words:
+        return np.zeros(WIDE // 64, np.uint64)
+    joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
+    starts = np.r_[0, ends[:-1]][:n].tolist()
+    stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n)
+    ones = np.zeros(WIDE, np.int64)
+    salts = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, n, 1 << 14):
+        part = mix64(hashes[at : at + (1 << 14), None] ^ salts[None, :]).astype("<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def bit_share(similarity: float) -> float:
+    """The share of SimHash bits in which texts of this Jaccard similarity are expected to differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, families: int = 8, radius: int = 2) -> DataFrame:
+    """``docs`` (doc_id, text) -> doc_id, text_key, keeper: the least (doc_id, text_key) of each row's group.
+
+    Every family emits its variants within half the radius; in a meeting each member is linked to the
+    first and to the one before it, and a link stands if the wide fingerprints differ in no more bits
+    than texts of ``similarity`` do, with a tenth on top for the spread of the estimate.  Copies and
+    texts with one wide fingerprint collapse first.  Null and empty texts are one group.
+    """
+    longs = [f"f{i}" for i in range(WIDE // 64)]
+    width = WIDE // families
+    masks = np.array([m & ((1 << width) - 1) for m in (sum(1 << i for i in c) for r in range(radius // 2 + 1) for c in combinations(range(width), r))], np.uint64)
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = np.array([wide_simhash(t.as_py(), shingle) for t in batch.column(2)], np.uint64).reshape(-1, len(longs))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(wide[:, i]).view(np.int64)) for i in range(len(longs)))], ["doc_id", "text_key", *longs])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            wide = np.stack([batch.column(1 + i).to_numpy().view(np.uint64) for i in range(len(longs))], 1)
+            for k in range(families):
+                at = k * width
+                narrow = (wide[:, at // 64] >> np.uint64(at % 64)) & np.uint64((1 << width) - 1)
+                key = np.uint64(k << width) | (narrow[:, None] ^ masks[None, :])
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(node, len(masks)))], ["variant", "node"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # variant, its first node, its last node
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            start = np.r_[last is None or v[0] != last[0], v[1:] != v[:-1]]
+            at = np.maximum.accumulate(np.where(start, np.arange(len(v)), -1))
+            head = np.where(at >= 0, node[at], last[1] if last else 0)
+            before = np.r_[last[2] if last else 0, node[:-1]]
+            last = (v[-1], head[-1], node[-1])
+            a, b = np.concatenate([node[~start], node[~start]]), np.concatenate([head[~start], before[~start]])
+            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1)[a != b], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("text_key"), text.alias("text"))
+    schema = "doc_id long, text_key int, " + ", ".join(f"{c} long" for c in longs)
+    rows = staged(slim.mapInArrow(marks, schema).withColumn("node", F.xxhash64(*longs)), "wide")
+    nodes = staged(rows.groupBy("node", *longs).agg(F.min(F.struct("doc_id", "text_key")).alias("least")), "nodes")
+    dealt = nodes.select("node", *longs).mapInArrow(emit, "variant long, node long").repartition(tasks(docs.sparkSession), "variant").sortWithinPartitions("variant", "node")
+    pairs = dealt.mapInArrow(met, "a long, b long").distinct()
+    side = lambda name: nodes.select(F.col("node").alias(name), *[F.col(c).alias(name + c) for c in longs])
+    gap = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in longs), F.lit(0))
+    links = pairs.join(side("a"), "a").join(side("b"), "b").where(gap <= int(WIDE * bit_share(similarity) * 1.1)).select("a", "b")
+    roots = connected_components(links)
+    grouped = nodes.join(roots, "node", "left").select(F.col("node").alias("n"), "least", F.coalesce("root", "node").alias("root"))
+    keepers = grouped.groupBy("root").agg(F.min("least").alias("keeper"))
+    return rows.select("doc_id", "text_key", "node").join(grouped.join(keepers, "root").select("n", "keeper"), F.col("node") == F.col("n")).select("doc_id", "text_key", "keeper")
+
+
+def drop_similar(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, the one with the least doc_id, all its columns.
+
+    Rows that repeat a doc_id and its text are one document.
+    """
+    groups = staged(similar_groups(docs.select("doc_id", "text"), **options), "groups")
+    own = F.struct("doc_id", "text_key")
+    gone = groups.where(~own.eqNullSafe(F.col("keeper"))).select("doc_id", "text_key").distinct()
+    kept = without(docs, staged(gone, "gone"))
+    if groups.where(own.eqNullSafe(F.col("keeper"))).groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows (doc_id, text_key) of ``gone``: in place when those are few, else shuffled."""
+    few = gone.count() * 24 <= BROADCAST_BYTES
+    names = gone.select(F.col("doc_id").alias("g_doc"), F.col("text_key").alias("g_key"))
+    met = docs["doc_id"].eqNullSafe(names["g_doc"]) & (F.hash(F.coalesce(docs["text"].cast("string"), F.lit(""))) == names["g_key"])
+    return docs.join(F.broadcast(names) if few else names, met, "left_anti")
