@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .numeric import multiset_minus
-from .text import SPACE
+from .text import SPACE, bound
 
 # The patterns of protected entities, in the order in which they are looked for.
 _W = f"[{SPACE}]"
@@ -60,9 +60,9 @@ def citations(c: Column) -> Column:
 
 def compare(source: Column, target: Column) -> Column:
     """struct<ok, missing, added> of two texts' citations."""
-    a, b = citations(source), citations(target)
-    missing, added = multiset_minus(a, b), multiset_minus(b, a)
-    return F.struct(((F.size(missing) == 0) & (F.size(added) == 0)).alias("ok"), missing.alias("missing"), added.alias("added"))
+    sides = F.struct(citations(source).alias("a"), citations(target).alias("b"))
+    diff = bound(sides, lambda s: F.struct(multiset_minus(s["a"], s["b"]).alias("missing"), multiset_minus(s["b"], s["a"]).alias("added")))
+    return bound(diff, lambda d: F.struct(((F.size(d["missing"]) == 0) & (F.size(d["added"]) == 0)).alias("ok"), d["missing"].alias("missing"), d["added"].alias("added")))
 
 
 def content(c: Column) -> Column:

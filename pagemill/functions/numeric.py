@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import B0, B1, SPACE
+from .text import B0, B1, SPACE, bound
 
 # What number words, months and roman numerals stand for, and CJK numerals.
 NUMBER_WORDS = {
@@ -72,28 +72,35 @@ def _magnitudes(t: Column, pattern: str) -> Column:
 
 def signature(c: Column) -> Column:
     """struct<numbers, stats>: sorted multisets of the numbers and statistics of a text."""
-    t = normalize(c)
-    big = F.concat(_magnitudes(t, _EN), _magnitudes(F.regexp_replace(t, _EN, " "), _ZH))
-    rest = F.regexp_replace(F.regexp_replace(t, _EN, " "), _ZH, " ")
-    signed = F.regexp_replace(rest, rf"(^|[{SPACE}(\[=<>:;,/])-(?=[\d.])", f"$1{SIGN}")
+    return bound(normalize(c), _signature)
+
+
+def _signature(t: Column) -> Column:
+    no_en = F.regexp_replace(t, _EN, " ")
+    big = F.concat(_magnitudes(t, _EN), bound(no_en, lambda u: _magnitudes(u, _ZH)))
     token = rf"((?<![A-Za-z0-9_]){SIGN}?(?:\d+(?:\.\d+)?|(?<![A-Za-z0-9_.)\]”\"'])\.\d+)%?)"
-    numbers = F.transform(F.regexp_extract_all(signed, F.lit(token), F.lit(1)), canonical)
-    of = lambda pattern, k: F.regexp_extract_all(rest, F.lit(pattern), F.lit(k))
+    signed = lambda rest: F.regexp_replace(rest, rf"(^|[{SPACE}(\[=<>:;,/])-(?=[\d.])", f"$1{SIGN}")
     p, n = r"(?<![A-Za-z])[pP]([=<>≤≥])(\.?\d+(?:\.\d+)?)", r"(?<![A-Za-z])[nN]=(\d+)"
     pm = r"(-?(?:\d+(?:\.\d+)?|\.\d+))±((?:\d+(?:\.\d+)?|\.\d+))"
-    stats = F.concat(
-        F.zip_with(of(p, 1), of(p, 2), lambda o, v: F.concat(F.lit("p"), o, canonical(v))),
-        F.transform(of(n, 1), lambda v: F.concat(F.lit("n="), canonical(v))),
-        F.zip_with(of(pm, 1), of(pm, 2), lambda a, b: F.concat(canonical(a), F.lit("±"), canonical(b))),
-    )
-    return F.struct(F.array_sort(F.concat(big, numbers)).alias("numbers"), F.array_sort(stats).alias("stats"))
+
+    def read(rest: Column) -> Column:
+        of = lambda pattern, k: F.regexp_extract_all(rest, F.lit(pattern), F.lit(k))
+        numbers = F.transform(F.regexp_extract_all(signed(rest), F.lit(token), F.lit(1)), canonical)
+        stats = F.concat(
+            F.zip_with(of(p, 1), of(p, 2), lambda o, v: F.concat(F.lit("p"), o, canonical(v))),
+            F.transform(of(n, 1), lambda v: F.concat(F.lit("n="), canonical(v))),
+            F.zip_with(of(pm, 1), of(pm, 2), lambda a, b: F.concat(canonical(a), F.lit("±"), canonical(b))),
+        )
+        return F.struct(F.array_sort(F.concat(big, numbers)).alias("numbers"), F.array_sort(stats).alias("stats"))
+
+    return bound(F.regexp_replace(no_en, _ZH, " "), read)
 
 
 def multiset_minus(a: Column, b: Column) -> Column:
     """The members of ``a`` beyond their number in ``b``, repeats included."""
     count = lambda xs, v: F.size(F.filter(xs, lambda x: x == v))
-    extra = lambda v: F.greatest(count(a, v) - count(b, v), F.lit(0))
-    return F.flatten(F.transform(F.array_distinct(a), lambda v: F.array_repeat(v, extra(v))))
+    extra = lambda s, v: F.greatest(count(s["a"], v) - count(s["b"], v), F.lit(0))
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda s: F.flatten(F.transform(F.array_distinct(s["a"]), lambda v: F.array_repeat(v, extra(s, v)))))
 
 
 def tolerated(source: Column) -> Column:
@@ -106,12 +113,18 @@ def tolerated(source: Column) -> Column:
 
 def compare(source: Column, target: Column) -> Column:
     """struct<ok, missing, added> of two texts' numbers and statistics."""
-    a, b = signature(source), signature(target)
-    as_cjk = lambda v: F.regexp_like(target, F.concat(F.lit("["), F.element_at(literal_map(CJK_NUMERALS), v), F.lit("]")))
-    missing = F.concat(F.filter(multiset_minus(a["numbers"], b["numbers"]), lambda v: ~F.coalesce(as_cjk(v), F.lit(False))), multiset_minus(a["stats"], b["stats"]))
-    may = tolerated(source)
-    added = F.concat(F.filter(multiset_minus(b["numbers"], a["numbers"]), lambda v: ~F.array_contains(may, v)), multiset_minus(b["stats"], a["stats"]))
-    return F.struct(((F.size(missing) == 0) & (F.size(added) == 0)).alias("ok"), missing.alias("missing"), added.alias("added"))
+    cjk = literal_map(CJK_NUMERALS)
+    as_cjk = lambda s, v: F.regexp_like(s["target"], F.concat(F.lit("["), F.element_at(cjk, v), F.lit("]")))
+
+    def diff(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        missing = F.concat(F.filter(multiset_minus(a["numbers"], b["numbers"]), lambda v: ~F.coalesce(as_cjk(s, v), F.lit(False))), multiset_minus(a["stats"], b["stats"]))
+        added = F.concat(F.filter(multiset_minus(b["numbers"], a["numbers"]), lambda v: ~F.array_contains(s["may"], v)), multiset_minus(b["stats"], a["stats"]))
+        return F.struct(missing.alias("missing"), added.alias("added"))
+
+    sides = F.struct(signature(source).alias("a"), signature(target).alias("b"), tolerated(source).alias("may"), target.alias("target"))
+    said = bound(bound(sides, diff), lambda d: F.struct(((F.size(d["missing"]) == 0) & (F.size(d["added"]) == 0)).alias("ok"), d["missing"].alias("missing"), d["added"].alias("added")))
+    return said
 
 
 def missing_symbols(source: Column, target: Column) -> Column:
@@ -123,5 +136,4 @@ def missing_symbols(source: Column, target: Column) -> Column:
 
 
 def density(c: Column) -> Column:
-    s = signature(c)
-    return F.struct(F.size(s["numbers"]).alias("numbers"), F.size(s["stats"]).alias("stats"), F.regexp_count(c, F.lit("[(（]")).alias("parentheses"))
+    return bound(signature(c), lambda s: F.struct(F.size(s["numbers"]).alias("numbers"), F.size(s["stats"]).alias("stats"), F.regexp_count(c, F.lit("[(（]")).alias("parentheses")))

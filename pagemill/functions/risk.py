@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import citations, numeric
-from .text import B0, B1, SPACE, trim
+from .text import B0, B1, SPACE, bound, trim
 
 # Vocabulary, points and the order of triggers.
 HIGH_SCORE = 8
@@ -35,8 +35,7 @@ def like(c: Column, pattern: str) -> Column:
 
 
 def has_numbers(c: Column) -> Column:
-    s = numeric.signature(c)
-    return (F.size(s["numbers"]) > 0) | (F.size(s["stats"]) > 0) | like(c, APPROXIMATE)
+    return bound(numeric.signature(c), lambda s: (F.size(s["numbers"]) > 0) | (F.size(s["stats"]) > 0)) | like(c, APPROXIMATE)
 
 
 def semantic(content: Column) -> Column:
@@ -51,37 +50,50 @@ def semantic(content: Column) -> Column:
 def assess(source: Column, target: Column, merged: Column, cross_page: Column, incomplete: Column, numeric_ok: Column, citation_ok: Column, lost_placeholders: Column) -> Column:
     """struct<level, score, reasons, triggers> of one translated block."""
     text = F.regexp_replace(source, GRAMMATICAL_NOT, " ")
-    content = citations.content(text)
-    density = numeric.density(content)
-    strong = like(text, STRONG_NEGATION)
-    weak = ~strong & like(text, WEAK_NEGATION)
-    hedges = F.regexp_count(text, F.lit(HEDGE))
-    said = semantic(content)
-    symbols = F.size(numeric.missing_symbols(source, target)) > 0
-    dense = F.when((density["numbers"] >= 8) | (density["stats"] >= 3), 3).when((density["numbers"] >= 4) | (density["stats"] >= 1), 2).when(density["parentheses"] >= 3, 1).otherwise(0)
     ratio = F.length(trim(target)) / F.length(trim(source))
-    odd = (F.length(trim(source)) >= 60) & ((ratio < 0.25) | (ratio > 2.0))
+    read = lambda t: F.struct(t.alias("text"), citations.content(t).alias("content"))
+    found = lambda r: F.struct(
+        numeric.density(r["content"]).alias("density"), has_numbers(r["content"]).alias("numeric"), semantic(r["content"]).alias("said"),
+        like(r["text"], STRONG_NEGATION).alias("strong"), like(r["text"], WEAK_NEGATION).alias("negation"),
+        F.regexp_count(r["text"], F.lit(HEDGE)).alias("hedges"), like(r["content"], APPROXIMATE).alias("approximate"),
+        (F.size(numeric.missing_symbols(source, target)) > 0).alias("symbols"), (lost_placeholders > 0).alias("lost"), (~numeric_ok).alias("number"), (~citation_ok).alias("citation"),
+        merged.alias("merged"), cross_page.alias("cross_page"), incomplete.alias("incomplete"),
+        ((F.length(trim(source)) >= 60) & ((ratio < 0.25) | (ratio > 2.0))).alias("odd"),
+    )
+    return bound(text, lambda t: bound(read(t), lambda r: bound(bound(found(r), _weighed), _judged)))
+
+
+def _weighed(f: Column) -> Column:
+    """Score, reasons and the named triggers of the signals found."""
+    weak = ~f["strong"] & f["negation"]
+    density, hedges = f["density"], f["hedges"]
+    dense = F.when((density["numbers"] >= 8) | (density["stats"] >= 3), 3).when((density["numbers"] >= 4) | (density["stats"] >= 1), 2).when(density["parentheses"] >= 3, 1).otherwise(0)
     weight = lambda test, points: F.when(test, points).otherwise(0)
     score = (
-        weight(lost_placeholders > 0, 8) + weight(~numeric_ok, 8) + weight(~citation_ok, 8) + weight(symbols, 4) + weight(strong, 3) + weight(weak, 1)
-        + F.when(hedges >= 4, 3).when(hedges >= 2, 2).when(hedges >= 1, 1).otherwise(0) + weight((hedges > 0) & like(content, APPROXIMATE), 1)
-        + dense + weight(merged, 1) + weight(cross_page, 1) + weight(incomplete, 1)
-        + weight(odd, 2) + weight(odd & (strong | has_numbers(content) | (hedges > 0)), 3)
+        weight(f["lost"], 8) + weight(f["number"], 8) + weight(f["citation"], 8) + weight(f["symbols"], 4) + weight(f["strong"], 3) + weight(weak, 1)
+        + F.when(hedges >= 4, 3).when(hedges >= 2, 2).when(hedges >= 1, 1).otherwise(0) + weight((hedges > 0) & f["approximate"], 1)
+        + dense + weight(f["merged"], 1) + weight(f["cross_page"], 1) + weight(f["incomplete"], 1)
+        + weight(f["odd"], 2) + weight(f["odd"] & (f["strong"] | f["numeric"] | (hedges > 0)), 3)
     )
     reason = lambda test, name: F.when(test, F.lit(name))
     reasons = F.array_compact(F.array(
-        reason(lost_placeholders > 0, "PLACEHOLDER_ERROR"), reason(~numeric_ok, "NUMERIC_MISMATCH"), reason(~citation_ok, "CITATION_MISMATCH"), reason(symbols, "SYMBOL_MISSING"),
-        reason(strong | weak, "NEGATION"), reason(hedges > 0, "UNCERTAINTY"), reason(dense > 0, "DENSE_NOTATION"), reason(merged, "MERGED_BLOCK"), reason(cross_page, "CROSS_PAGE_BLOCK"),
-        reason(incomplete, "INCOMPLETE_SOURCE"), reason(odd, "LENGTH_ANOMALY"),
+        reason(f["lost"], "PLACEHOLDER_ERROR"), reason(f["number"], "NUMERIC_MISMATCH"), reason(f["citation"], "CITATION_MISMATCH"), reason(f["symbols"], "SYMBOL_MISSING"),
+        reason(f["negation"] | f["strong"], "NEGATION"), reason(hedges > 0, "UNCERTAINTY"), reason(dense > 0, "DENSE_NOTATION"), reason(f["merged"], "MERGED_BLOCK"), reason(f["cross_page"], "CROSS_PAGE_BLOCK"),
+        reason(f["incomplete"], "INCOMPLETE_SOURCE"), reason(f["odd"], "LENGTH_ANOMALY"),
     ))
-    named = F.array_compact(F.array(
-        reason(lost_placeholders > 0, TRIGGERS[0]), reason(~numeric_ok, TRIGGERS[1]), reason(~citation_ok, TRIGGERS[2]), reason(symbols, TRIGGERS[3]),
-        reason(strong & said["negation"], TRIGGERS[4]), reason((hedges > 0) & said["uncertainty"], TRIGGERS[5]), reason(cross_page & incomplete, TRIGGERS[6]),
-        reason(merged & incomplete & (strong | weak | (hedges > 0)), TRIGGERS[7]),
+    triggers = F.array_compact(F.array(
+        reason(f["lost"], TRIGGERS[0]), reason(f["number"], TRIGGERS[1]), reason(f["citation"], TRIGGERS[2]), reason(f["symbols"], TRIGGERS[3]),
+        reason(f["strong"] & f["said"]["negation"], TRIGGERS[4]), reason((hedges > 0) & f["said"]["uncertainty"], TRIGGERS[5]), reason(f["cross_page"] & f["incomplete"], TRIGGERS[6]),
+        reason(f["merged"] & f["incomplete"] & (f["strong"] | weak | (hedges > 0)), TRIGGERS[7]),
     ))
-    triggers = F.when((F.size(named) == 0) & (score >= HIGH_SCORE), F.array(F.lit(TRIGGERS[8]))).otherwise(named)
-    level = F.when(F.size(triggers) > 0, "hard").when(F.size(reasons) > 0, "soft").otherwise("none")
-    return F.struct(level.alias("level"), score.cast("int").alias("score"), reasons.alias("reasons"), triggers.alias("triggers"))
+    return F.struct(score.cast("int").alias("score"), reasons.alias("reasons"), triggers.alias("triggers"))
+
+
+def _judged(w: Column) -> Column:
+    """The level, and the score's own trigger where no other fired."""
+    triggers = F.when((F.size(w["triggers"]) == 0) & (w["score"] >= HIGH_SCORE), F.array(F.lit(TRIGGERS[8]))).otherwise(w["triggers"])
+    level = F.when(F.size(triggers) > 0, "hard").when(F.size(w["reasons"]) > 0, "soft").otherwise("none")
+    return F.struct(level.alias("level"), w["score"].alias("score"), w["reasons"].alias("reasons"), triggers.alias("triggers"))
 
 
 def is_critical(triggers: Column) -> Column:

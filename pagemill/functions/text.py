@@ -35,6 +35,11 @@ ABBREVIATION_END = r"(?i)" + B0 + r"(e\.g|i\.e|et al|etc|vs|cf|viz|fig|figs|eq|e
 CJK = r"[\u2e80-\u2fdf\u3000-\u30ff\u3100-\u312f\u3190-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\ufe30-\ufe4f\uff00-\uffef]"
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+$", "")
