@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import citations, numeric, predicates, risk, text
-from ..operators import batching, layout, scope, spatial
+from ..functions import citations, fitting, numeric, predicates, risk, text
+from ..operators import batching, layout, scope, spatial, translate, units
 from ..sources.synth import text_items
 from ..streaming import limiter
 
@@ -550,6 +550,37 @@ def contrast(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", color.alias("color"), spatial.text_color(color).alias("ink"))
 
 
+# ---------------------------------------------------------------- units, requests, fitting
+
+
+@_query()
+def translation_units(spark, sf_dir):
+    size = F.when(F.col("turn") % 5 == 3, 8.0).otherwise(10.0)
+    turns = _t(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.concat(F.lit("b"), F.col("turn").cast("string")).alias("block_id"), (F.floor(F.col("turn") / 3) + 1).cast("int").alias("page"),
+        F.lit("BODY").alias("type"), F.when(F.col("turn") % 2 == 0, F.regexp_replace("text", r"[.!?]+$", "")).otherwise(F.lower("text")).alias("text"), F.lit(True).alias("translate"), size.alias("font_size"),
+        F.lit("FULL").alias("column"), F.lit("BODY").alias("role"), F.lit(None).cast("string").alias("container_id"), (700.0 - F.col("turn") % 3 * 60).alias("top"), (650.0 - F.col("turn") % 3 * 60).alias("y"),
+        F.lit(50.0).alias("x"), F.lit(400.0).alias("width"), F.lit(4).alias("line_count"), F.lit(False).alias("cell"),
+    )
+    made = units.build_units(turns)
+    return made.select("doc_id", "ord", "unit_id", "was_merged", "incomplete", F.length("text").alias("chars"))
+
+
+@_query(
+    """WITH t AS (SELECT conv_id AS doc_id, turn::VARCHAR AS id, regexp_split_to_array(trim(text), '\\s+') AS w FROM conversations WHERE trim(text) <> '')
+SELECT doc_id, id, array_to_string(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[\\d±≤≥°µμΔα-ωΣ]|^[A-Z]{2,}$|__[A-Z]+_\\d+__') THEN x ELSE '文' END), ' ') AS translation, 'done' AS status FROM t"""
+)
+def translated_turns(spark, sf_dir):
+    turns = _t(spark, sf_dir, "conversations").where(text.trim(F.col("text")) != "").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("ord"), F.col("turn").cast("string").alias("id"), "text")
+    return translate.translate(turns).select("doc_id", "id", "translation", "status")
+
+
+@_query()
+def fit_cells(spark, sf_dir):
+    cells = _t(spark, sf_dir, "part").select("p_partkey", fitting.fit_cells(F.col("p_name"), (F.lit(40.0) + F.col("p_size")).cast("double"), F.lit(22.0), F.lit(8.0)).alias("f"))
+    return cells.select("p_partkey", "f.size", F.size("f.lines").alias("lines"), "f.overflow")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
