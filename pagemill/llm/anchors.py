@@ -74,9 +74,14 @@ def unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, text): rows that repeat a doc_id with another text are told apart."""
+    """(doc_id, text_key, text): rows that repeat a doc_id with another text are told apart by text_key.
+
+    Where no doc_id repeats, text_key is 0, which costs nothing to move.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("text_key"), text.alias("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    repeated = bool(slim.groupBy("doc_id").count().where("count > 1").limit(1).count())
+    return slim.select("doc_id", (F.hash("text") if repeated else F.lit(0)).alias("text_key"), "text")
 
 
 AnchorFn = Callable[[str], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -106,7 +111,7 @@ def repeated_anchors(texts: DataFrame, find: Callable[[], AnchorFn]) -> DataFram
             key, place, owner = key[order], place[order], owner[order]
             same = key[1:] == key[:-1]
             sure = np.r_[same, False] | np.r_[False, same]
-            route = key.copy()
+            route = key >> np.uint64(16)  # 48 bits: a rare false meeting costs a candidate, never a result
             later = np.r_[False, same]
             doc, text_key = batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner))
             route[later] = mix64(place[later].astype(np.uint64) + mix64(owner[later].astype(np.uint64)))
@@ -133,7 +138,7 @@ def repeated_anchors(texts: DataFrame, find: Callable[[], AnchorFn]) -> DataFram
     rows = texts.mapInArrow(emit, "route long, doc_id long, text_key int, place long, sure boolean")
     dealt = rows.repartition(tasks(texts.sparkSession), "route").sortWithinPartitions("route")
     found = dealt.mapInArrow(meet, "doc_id long, text_key int, place long")
-    return found.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"))
+    return staged(found.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places")), "anchors")
 
 
 def with_lists(texts: DataFrame, lists: DataFrame, how: str, size: int | None = None) -> DataFrame:

@@ -14,6 +14,9 @@ WS = r"\x20\x09-\x0D"
 #: A run of anything that is not ASCII white space.
 WORD = rf"[^{WS}]+"
 
+#: Spark's setting that removes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: list[str] = []
 _written: dict[str, SparkSession] = {}
 
@@ -31,12 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back.
 
-    This cuts lineage: a lost executor costs a re-read, not a recomputation.  The table is removed
-    when the driver ends.
+    This cuts lineage: a lost executor costs a re-read, not a recomputation.  The shuffle files of the
+    write are removed when it ends, since the table replaces them; the table is removed by ``forget``
+    or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagemill-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,9 +2,9 @@
 
 Seeds are winnowed anchors: of the 5-word grams of every 13-word window the one with the least hash.
 Documents meet on anchors whose gram stands in more than one place.  Each seed is extended both ways to
-the windows that it anchors, as far as the document goes; equal extensions of copies collapse, windows
-are matched across documents, and matching windows that overlap or touch merge into maximal repeats of
-13 words or more.  A window counts as repeated where the same words also start in a document with a
+the windows that it anchors, as far as the document goes; equal windows of a batch collapse to the one of
+the first document, the others are matched across all documents, and matching windows that overlap or
+touch merge into maximal repeats of 13 words or more.  A window counts as repeated where the same words also start in a document with a
 smaller doc_id, so the first document keeps them.
 
 No pairs of documents are formed: a window needs only the least doc_id that holds it.  Windows are
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import AnchorFn, anchors_of, keyed, merged, mix64, repeated_anchors, runs_per_document, unpack, with_lists
-from .common import staged
+from .common import forget, tasks
 
 LENGTH, GRAM = 13, 5
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -61,48 +61,83 @@ def word_anchors(length: int = LENGTH, gram: int = GRAM) -> AnchorFn:
 
 
 def extensions(met: DataFrame, length: int) -> DataFrame:
-    """(doc_id, text_key, text, places) -> (doc_id, text_key, first, a, b, windows).
+    """(doc_id, text_key, text, places) -> (x, y, doc_id, text_key, start, stop).
 
-    (a, b) names the words around a seed; ``windows`` has two hashes a window and is null where the
-    batch has named the same words before.
+    Every seed is extended both ways to the windows that it anchors, named by (x, y).  A window that an
+    earlier document of the batch has too is repeated already: such windows come out as the runs that
+    they cover, with x scattered and ``stop`` set.  Of the others each comes out once for its first
+    document in the batch, with ``stop`` 0, so a passage that many documents hold is a row a batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[tuple[int, int]] = set()
-            rows, firsts, a, b, windows = [], [], [], [], []
+            owners, starts, xs, ys = [], [], [], []
             for i, (text, places) in enumerate(zip(batch.column(2), batch.column(3))):
                 hashes = word_hashes(words_of(text.as_py()))
-                one, two = rolling(hashes, length, 1), rolling(hashes, length, 2)
                 _, first, last = unpack(np.unique(places.values.to_numpy()))
-                for f, t in zip(first.tolist(), last.tolist()):
-                    raw = np.stack([one[f : t + 1], two[f : t + 1]], 1).tobytes()
-                    name = xxhash.xxh3_128_intdigest(raw)
-                    key = (name >> 64) - (1 << 63), (name & (2**64 - 1)) - (1 << 63)
-                    rows.append(i), firsts.append(f), a.append(key[0]), b.append(key[1])
-                    windows.append(None if key in seen else np.frombuffer(raw, np.int64))
-                    seen.add(key)
-            at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(firsts, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(windows, pa.list_(pa.int64()))], ["doc_id", "text_key", "first", "a", "b", "windows"])
+                at = np.concatenate([np.arange(f, t + 1) for f, t in zip(first.tolist(), last.tolist())])
+                xs.append(rolling(hashes, length, 1)[at]), ys.append(rolling(hashes, length, 2)[at])
+                owners.append(np.full(len(at), i)), starts.append(at)
+            if not owners:
+                continue
+            owner, start, x, y = map(np.concatenate, (owners, starts, xs, ys))
+            doc = batch.column(0).to_numpy()[owner]
+            order = np.lexsort((start, doc, y, x))
+            owner, start, x, y, doc = (v[order] for v in (owner, start, x, y, doc))
+            head = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+            least = doc[np.maximum.accumulate(np.where(head, np.arange(len(x)), 0))]
+            later = doc > least
+            runs = [], [], []
+            gone = np.flatnonzero(later)
+            gone = gone[np.lexsort((start[gone], owner[gone]))]
+            if len(gone):
+                o, s = owner[gone], start[gone]
+                new = np.r_[True, (o[1:] != o[:-1]) | (s[1:] > s[:-1] + length)]
+                firsts = np.flatnonzero(new)
+                lasts = np.r_[firsts[1:] - 1, len(s) - 1]
+                runs = o[firsts], s[firsts], s[lasts] + length
+            keep = ~later
+            rows = np.concatenate([owner[keep], np.asarray(runs[0], np.int64)])
+            begin = np.concatenate([start[keep], np.asarray(runs[1], np.int64)])
+            stop = np.concatenate([np.zeros(int(keep.sum()), np.int64), np.asarray(runs[2], np.int64)])
+            scattered = mix64(np.arange(len(runs[0]), dtype=np.uint64))
+            names = np.concatenate([x[keep], scattered]), np.concatenate([y[keep], scattered])
+            at_row = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), batch.column(0).take(at_row), batch.column(1).take(at_row), pa.array(begin), pa.array(stop)], ["x", "y", "doc_id", "text_key", "start", "stop"])
+
+    return met.select("doc_id", "text_key", "text", "places").mapInArrow(run, "x long, y long, doc_id long, text_key int, start long, stop long")
+
+
+def later_windows(windows: DataFrame, length: int) -> DataFrame:
+    """Rows sorted by (x, y, doc_id) -> (doc_id, text_key, start, stop) of those that an earlier document has."""
 
-    return met.select("doc_id", "text_key", "text", "places").mapInArrow(run, "doc_id long, text_key int, first long, a long, b long, windows array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, least = None, 0  # the open window and its first document
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y, doc, start, stop = (batch.column(c).to_numpy() for c in ("x", "y", "doc_id", "start", "stop"))
+            head = np.r_[name != (x[0], y[0]), (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+            at = np.maximum.accumulate(np.where(head, np.arange(len(x)), -1))
+            first = np.where(at >= 0, doc[at], least)
+            name, least = (x[-1], y[-1]), first[-1]
+            keep = np.flatnonzero((stop > 0) | (doc > first))
+            rows = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(start[keep]), pa.array(np.where(stop[keep] > 0, stop[keep], start[keep] + length))], ["doc_id", "text_key", "start", "stop"])
+
+    return windows.mapInArrow(run, "doc_id long, text_key int, start long, stop long")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, int]:
     """The keyed texts, (doc_id, text_key, runs) of word runs that an earlier document also has, and their bytes."""
     texts = keyed(docs)
-    found = repeated_anchors(texts, lambda: word_anchors(length, gram))
-    seeds = staged(extensions(with_lists(texts, found, "inner"), length), "seeds")
-    # the least and the greatest document of each extension, then the least of each window in it
-    owners = seeds.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"))
-    shown = seeds.where("windows IS NOT NULL").select("a", "b", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("windows") / 2).cast("int") - 1), lambda i: F.struct(F.get("windows", (i * 2).cast("int")).alias("x"), F.get("windows", (i * 2 + 1).cast("int")).alias("y")))).alias("i", "w"))
-    shown = staged(shown.select("a", "b", "i", "w.x", "w.y").distinct().join(owners, ["a", "b"]), "shown")
-    first = shown.groupBy("x", "y").agg(F.min("least").alias("origin"), F.max("greatest").alias("last")).where("origin < last")
-    origins = shown.join(first, ["x", "y"]).where("origin < greatest").groupBy("a", "b").agg(F.collect_list(F.struct("i", "origin")).alias("origins"))
-    hit = seeds.select("doc_id", "text_key", "first", "a", "b").join(origins, ["a", "b"])
-    later = F.filter("origins", lambda o: o["origin"] < F.col("doc_id"))
-    hit = hit.select("doc_id", "text_key", F.transform(later, lambda o: F.col("first") + o["i"]).alias("starts")).where(F.size("starts") > 0)
-    runs, size = runs_per_document(hit.withColumn("ends", F.transform("starts", lambda s: s + length)), "runs")
+    named = texts.where("doc_id IS NOT NULL")
+    found = repeated_anchors(named, lambda: word_anchors(length, gram))
+    windows = extensions(with_lists(named, found, "inner"), length)
+    dealt = windows.repartition(tasks(docs.sparkSession), "x").sortWithinPartitions("x", "y", "doc_id")
+    hit = later_windows(dealt, length)
+    runs, size = runs_per_document(hit.select("doc_id", "text_key", F.array("start").alias("starts"), F.array("stop").alias("ends")), "runs")
+    forget(found)
     return texts, runs, size
 
 
