@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import citations, fitting, numeric, predicates, risk, text
-from ..operators import batching, layout, scope, spatial, translate, units
+from ..functions import citations, fitting, numeric, predicates, risk, scripts, text
+from ..operators import batching, layout, scope, sections, spatial, translate, units
 from ..sources.synth import text_items
 from ..streaming import limiter
 
@@ -581,6 +581,23 @@ def fit_cells(spark, sf_dir):
     return cells.select("p_partkey", "f.size", F.size("f.lines").alias("lines"), "f.overflow")
 
 
+@_query()
+def block_classes(spark, sf_dir):
+    items = text_items(_t(spark, sf_dir, "documents"))
+    blocks = items.select(
+        "doc_id", F.col("item_id").alias("ord"), F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("block_id"), F.col("page").cast("int").alias("page"), "text", "font_size",
+        F.lit(None).cast("string").alias("font_name"), F.lit(1).alias("line_count"), F.lit("FULL").alias("column"), "y", (F.col("y") + F.col("font_size")).alias("top"), "width",
+    )
+    return sections.classify(blocks, layout.body_font_size(items)).groupBy("type", "section").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT doc_id, (doc_id % 90 + 1)::VARCHAR || '|' || (doc_id % 9 + 1) || ',' || (doc_id % 9 + 12) || '-' || (doc_id % 9 + 14) AS markers FROM documents")
+def glued_markers(spark, sf_dir):
+    n, k = (F.col("doc_id") % 90 + 1).cast("string"), F.col("doc_id") % 9
+    cited = F.concat(F.lit("in 3.5 words."), n, F.lit(" and more,"), (k + 1).cast("string"), F.lit(", "), (k + 12).cast("string"), F.lit("-"), (k + 14).cast("string"), F.lit(" then 2024"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(scripts.glued_markers(cited), "|").alias("markers"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
