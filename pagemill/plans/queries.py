@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations, fitting, numeric, predicates, risk, scripts, text
-from ..operators import batching, layout, scope, sections, spatial, translate, units
+from ..operators import batching, layout, sampling, scope, sections, spatial, tables, translate, units
 from ..sources.synth import text_items
 from ..streaming import limiter
 
@@ -598,6 +598,26 @@ def glued_markers(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(scripts.glued_markers(cited), "|").alias("markers"))
 
 
+@_query()
+def term_samples(spark, sf_dir):
+    items = text_items(_t(spark, sf_dir, "documents"))
+    kind = F.when(F.col("item_id") == 0, "TITLE").when(F.col("item_id") % 9 == 4, "HEADING").when(F.col("item_id") % 11 == 6, "CAPTION").otherwise("BODY")
+    made = items.select("doc_id", F.col("item_id").alias("ord"), F.concat(F.lit("u"), F.col("item_id").cast("string")).alias("unit_id"), F.col("page").cast("int").alias("page"), kind.alias("type"), "text")
+    return sampling.term_samples(made).groupBy("pass").agg(F.count("*").alias("n"), F.sum(F.length("excerpt")).alias("chars"))
+
+
+@_query()
+def table_cells(spark, sf_dir):
+    k = F.col("l_linenumber")
+    cell = F.when(k % 3 == 0, F.concat(F.lit("Line "), k.cast("string"))).otherwise(F.col("l_quantity").cast("long").cast("string"))
+    lines = _t(spark, sf_dir, "lineitem").where(F.col("l_linenumber") <= 6)
+    items = lines.select(
+        (F.col("l_orderkey") % 97).alias("doc_id"), F.floor(F.col("l_orderkey") / 1000).cast("int").alias("table_id"), F.lit(1).alias("page"), (F.col("l_orderkey") * 10 + k).alias("item_id"), cell.alias("text"),
+        (F.lit(50.0) + k * 80).alias("x"), (F.lit(700.0) - F.floor(F.col("l_orderkey") / 97) % 10 * 12).cast("double").alias("y"), (F.length(cell) * 4.0).alias("width"), F.lit(8.0).alias("font_size"),
+    )
+    return tables.table_cells(items).groupBy("status").agg(F.count("*").alias("cells"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
