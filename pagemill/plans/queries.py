@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations, fitting, numeric, predicates, risk, scripts, text
-from ..operators import batching, layout, sampling, scope, sections, spatial, tables, translate, units
+from ..operators import batching, layout, render, sampling, scope, sections, spatial, tables, translate, units
 from ..sources.synth import text_items
 from ..streaming import limiter
 
@@ -618,6 +618,19 @@ def table_cells(spark, sf_dir):
     return tables.table_cells(items).groupBy("status").agg(F.count("*").alias("cells"))
 
 
+@_query(
+    f"""WITH {_BOX}, {_POINT}, b AS (SELECT pt.doc_id, item_id, box_id, '#' || lower(lpad(hex(box_id * 7919 % 16777216), 6, '0')) AS color, row_number() OVER (PARTITION BY pt.doc_id, pt.page, item_id ORDER BY (x1 - x0) * (y1 - y0), box_id) AS r
+  FROM pt JOIN box ON pt.doc_id = box.doc_id AND pt.page = box.page AND x0 - 0.75 <= px AND y0 - 0.75 <= py AND x1 + 0.75 >= px + 8 AND y1 + 0.75 >= py + 6)
+SELECT pt.doc_id, pt.item_id, CASE WHEN b.box_id IS NULL THEN 'white' ELSE 'fill' END AS source, b.color AS ground FROM pt LEFT JOIN b ON pt.doc_id = b.doc_id AND pt.item_id = b.item_id AND r = 1"""
+)
+def block_backgrounds(spark, sf_dir):
+    fills = _boxes(spark, sf_dir).withColumn("seq", F.col("box_id")).withColumn("color", F.concat(F.lit("#"), F.lpad(F.hex(F.col("box_id") * 7919 % 16777216), 6, "0"))).drop("box_id")
+    points = _points(spark, sf_dir)
+    blocks = points.select("doc_id", "page", F.col("item_id").alias("block_id"), F.col("px").alias("x0"), F.col("py").alias("y0"), (F.col("px") + 8).alias("x1"), (F.col("py") + 6).alias("y1"), F.lit(None).cast("string").alias("container_fill"))
+    pages = points.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(0).alias("rotation"), F.lit(0.0).alias("px0"), F.lit(0.0).alias("py0"), F.lit(612.0).alias("px1"), F.lit(792.0).alias("py1"))
+    return render.background(blocks, fills, pages).select("doc_id", F.col("block_id").alias("item_id"), "source", "ground")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
