@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, tasks
@@ -157,21 +157,32 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], ends[np.r_[np.flatnonzero(new)[1:] - 1, len(starts) - 1]]
 
 
+#: Bits of a packed range that hold its length.
+RANGE_BITS = 31
+
+
+def pack_range(start: Column, stop: Column) -> Column:
+    """A half-open range as one long."""
+    return F.shiftleft(start, RANGE_BITS).bitwiseOR(stop - start)
+
+
 def runs_per_document(ranges: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """(doc_id, text_key, starts, ends) -> (doc_id, text_key, runs) of merged runs, and their bytes.
+    """(doc_id, text_key, ranges) -> (doc_id, text_key, runs) of merged runs, and their bytes.
 
-    ``ranges`` has arrays; ``runs`` holds start, end, start, end ...
+    ``ranges`` is an array of packed ranges; ``runs`` holds start, end, start, end ...
     """
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs = []
-            for s, e in zip(batch.column(2), batch.column(3)):
-                a, b = merged(s.values.to_numpy(), e.values.to_numpy())
+            for packed in batch.column(2):
+                v = packed.values.to_numpy()
+                start = v >> RANGE_BITS
+                a, b = merged(start, start + (v & ((1 << RANGE_BITS) - 1)))
                 runs.append(np.c_[a, b].reshape(-1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "text_key", "runs"])
 
-    per = ranges.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-    # the order of two collected lists is that of the same rows
+    per = ranges.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     out = staged(per.mapInArrow(merge, "doc_id long, text_key int, runs array<long>"), name)
     size = out.agg(F.sum(F.size("runs") * 8 + 32)).first()[0] or 0
     return out, int(size)

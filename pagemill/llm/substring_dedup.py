@@ -8,7 +8,7 @@ touch merge into maximal repeats of 13 words or more.  A window counts as repeat
 smaller doc_id, so the first document keeps them.
 
 No pairs of documents are formed: a window needs only the least doc_id that holds it.  Windows are
-compared by 128 bits hashed from their words.
+compared by 96 bits hashed from their words.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import AnchorFn, anchors_of, keyed, merged, mix64, repeated_anchors, runs_per_document, unpack, with_lists
+from .anchors import AnchorFn, anchors_of, keyed, merged, mix64, pack_range, repeated_anchors, runs_per_document, unpack, with_lists
 from .common import forget, tasks
 
 LENGTH, GRAM = 13, 5
@@ -103,9 +103,9 @@ def extensions(met: DataFrame, length: int) -> DataFrame:
             scattered = mix64(np.arange(len(runs[0]), dtype=np.uint64))
             names = np.concatenate([x[keep], scattered]), np.concatenate([y[keep], scattered])
             at_row = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), batch.column(0).take(at_row), batch.column(1).take(at_row), pa.array(begin), pa.array(stop)], ["x", "y", "doc_id", "text_key", "start", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[0].view(np.int64)), pa.array((names[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(at_row), batch.column(1).take(at_row), pa.array(begin), pa.array(stop)], ["x", "y", "doc_id", "text_key", "start", "stop"])
 
-    return met.select("doc_id", "text_key", "text", "places").mapInArrow(run, "x long, y long, doc_id long, text_key int, start long, stop long")
+    return met.select("doc_id", "text_key", "text", "places").mapInArrow(run, "x long, y int, doc_id long, text_key int, start long, stop long")
 
 
 def later_windows(windows: DataFrame, length: int) -> DataFrame:
@@ -136,7 +136,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
     windows = extensions(with_lists(named, found, "inner"), length)
     dealt = windows.repartition(tasks(docs.sparkSession), "x").sortWithinPartitions("x", "y", "doc_id")
     hit = later_windows(dealt, length)
-    runs, size = runs_per_document(hit.select("doc_id", "text_key", F.array("start").alias("starts"), F.array("stop").alias("ends")), "runs")
+    runs, size = runs_per_document(hit.select("doc_id", "text_key", F.array(pack_range(F.col("start"), F.col("stop"))).alias("ranges")), "runs")
     forget(found)
     return texts, runs, size
 

@@ -12,7 +12,7 @@ o, classes of equal sides, and a window repeats when a second context falls into
 
 A group of suffixes with the same leading 201 bytes may straddle a splitter, however large it is.  Such
 groups are compared across the boundary: their windows go out one by one, named by 128 bits of hash, and
-a partially aggregated count says which of them stand in a second context.  So no task holds more than
+a partially aggregated count says which of them stand in a second context (see ``repeated_across``).  So no task holds more than
 a bucket and no group needs a cap.
 """
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import AnchorFn, anchors_of, keyed, merged, mix64, repeated_anchors, runs_per_document, unpack, with_lists
+from .anchors import AnchorFn, anchors_of, keyed, merged, mix64, pack_range, repeated_anchors, runs_per_document, unpack, with_lists
 from .common import staged, tasks
 
 LENGTH = 400
@@ -37,6 +37,8 @@ WIDTH = 200
 #: A bucket is planned for this many bytes of contexts.
 BUCKET_BYTES = 24 << 20
 SAMPLES_A_BUCKET = 40
+#: Blocks of window offsets that straddling groups are first compared by.
+BLOCKS = 8
 
 BASE = np.uint64(0x5851F42D4C957F2D)
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -231,20 +233,57 @@ def repeated_in_contexts(shown: DataFrame, length: int, width: int) -> DataFrame
 
     inside = placed.where("bucket >= 0").repartitionById(len(splitters) + 1, F.col("bucket")).select("a", "b", "context", "back", "n").mapInArrow(sort_bucket, "a long, b long, spans array<long>")
 
-    def single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    straddling = placed.where("bucket < 0").select("a", "b", "context", "back", "n")
+    return inside.unionByName(repeated_across(straddling, length, width))
+
+
+def repeated_across(contexts: DataFrame, length: int, width: int) -> DataFrame:
+    """Contexts of groups that straddle a splitter -> (a, b, spans), compared across all buckets.
+
+    The windows that start o bytes before their anchor are taken in blocks of o.  All windows of a block
+    share a core of the context, so a block whose core no other context has is settled by one row.  The
+    windows of the other blocks are named one by one; those that a batch holds in two contexts are settled
+    there, and of each other name one row goes on.  So neither what is unique nor what is common to many
+    is multiplied.
+    """
+    step = -(-width // BLOCKS)
+
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, block, h = [], [], [], []
+            for p, q, context, back, n in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                for k in range((back - n + 1) // step, back // step + 1):
+                    core = context[back - k * step : back + length - min(width - 1, k * step + step - 1)]
+                    a.append(p), b.append(q), block.append(k), h.append(xxhash.xxh3_64_intdigest(core, seed=k) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(block, pa.int32()), pa.array(h, pa.int64())], ["a", "b", "block", "h"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                a, b, i, x, y = [], [], [], [], []
-                for p, q, context, n in zip(*(batch.column(k).slice(at, 500).to_pylist() for k in range(4))):
-                    for w in range(n):
+            first: dict[int, tuple[int, int]] = {}  # name of a window: context and place where it was met first
+            again: dict[int, set[int]] = {}  # context: its windows that the batch has elsewhere
+            rows = list(zip(*(batch.column(k).to_pylist() for k in range(6))))
+            for r, (_, _, context, back, n, blocks) in enumerate(rows):
+                for k in blocks:
+                    for w in range(max(0, back - k * step - step + 1), min(n - 1, back - k * step) + 1):
                         name = xxhash.xxh3_128_intdigest(context[w : w + length])
-                        a.append(p), b.append(q), i.append(w), x.append((name >> 64) - (1 << 63)), y.append((name & (2**64 - 1)) - (1 << 63))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(i, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b", "i", "x", "y"])
-
-    across = placed.where("bucket < 0").select("a", "b", "context", "n").mapInArrow(single_windows, "a long, b long, i long, x long, y long")
-    twice = across.groupBy("x", "y").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("x", "y")
-    crossing = across.join(twice, ["x", "y"]).groupBy("a", "b").agg(F.array_sort(F.collect_set("i")).alias("i")).select("a", "b", F.flatten(F.transform("i", lambda v: F.array(v, v + 1))).alias("spans"))
-    return inside.unionByName(crossing)
+                        met = first.setdefault(name, (r, w))
+                        if met != (r, w):
+                            again.setdefault(r, set()).add(w)
+                            again.setdefault(met[0], set()).add(met[1])
+            out: list[tuple] = [(rows[r][0], rows[r][1], sorted(ws), 0, 0) for r, ws in again.items()]
+            out += [(rows[r][0], rows[r][1], [w], (name >> 64) - (1 << 63), (name & (2**64 - 1)) - (1 << 63)) for name, (r, w) in first.items()]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["a", "b", "at", "x", "y"])
+
+    block_rows = contexts.mapInArrow(cores, "a long, b long, block int, h long")
+    shared = block_rows.groupBy("h", "block").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("h", "block")
+    open_blocks = staged(block_rows.join(shared, ["h", "block"]).select("a", "b", "block"), "blocks").groupBy("a", "b").agg(F.collect_set("block").alias("blocks"))
+    named = staged(contexts.join(open_blocks, ["a", "b"]).select("a", "b", "context", "back", "n", "blocks").mapInArrow(windows, "a long, b long, at array<long>, x long, y long"), "names")
+    # a name that one batch has met twice goes on under one context, and matches the others' batches too
+    single = named.where("x <> 0 OR y <> 0")
+    twice = single.groupBy("x", "y").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("x", "y")
+    found = named.where("x = 0 AND y = 0").select("a", "b", "at").unionByName(single.join(twice, ["x", "y"]).select("a", "b", "at"))
+    return found.select("a", "b", F.flatten(F.transform("at", lambda v: F.array(v, v + 1))).alias("spans"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> tuple[DataFrame, DataFrame, int]:
@@ -256,11 +295,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> tuple[
     whole = copies.select("a", "b", F.array(F.lit(0).cast("long"), F.col("n").cast("long")).alias("spans"))
     shown = staged(places.where("context IS NOT NULL").select("a", "b", "n", "back", "context").dropDuplicates(["a", "b"]), "distinct")
     other = repeated_in_contexts(shown, length, width)
-    spans = whole.unionByName(other).groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # written before the join, so that the places of one context need not meet in one task
+    spans = staged(whole.unionByName(other).groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     hit = places.select("doc_id", "text_key", "first", "a", "b").join(spans, ["a", "b"])
-    even = F.filter("spans", lambda v, i: i % 2 == 0)
-    odd = F.filter("spans", lambda v, i: i % 2 == 1)
-    ranges = hit.select("doc_id", "text_key", F.transform(even, lambda v: F.col("first") + v).alias("starts"), F.transform(odd, lambda v: F.col("first") + v + (length - 1)).alias("ends"))
+    stop = lambda i: F.col("first") + F.get("spans", i + 1) + (length - 1)
+    at = F.filter(F.sequence(F.lit(0), F.size("spans") - 1), lambda i: i % 2 == 0)
+    ranges = hit.select("doc_id", "text_key", F.transform(at, lambda i: pack_range(F.col("first") + F.get("spans", i), stop(i))).alias("ranges"))
     runs, size = runs_per_document(ranges, "runs")
     return texts, runs, size
 
