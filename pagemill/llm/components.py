@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import forget, staged
 
 MAX_ROUNDS = 60
 
@@ -21,16 +21,23 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     pairs = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     pairs = staged(pairs, "links")
-    seen = None
     for _ in range(MAX_ROUNDS):
-        state = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first()
-        if not state["n"] or state == seen:
+        if settled(pairs):
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(pairs.select("b", "b")).distinct()
-        seen = state
-        pairs = staged(small_star(large_star(pairs)), "links")
+        wide = staged(large_star(pairs), "wide")  # written, since the next step reads it three times
+        before, pairs = pairs, staged(small_star(wide), "links")
+        forget(before)
+        forget(wide)
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
+def settled(pairs: DataFrame) -> bool:
+    """Whether every node above a root has that one link only, and no root has one."""
+    twice = pairs.groupBy("a").count().where("count > 1").limit(1)
+    above = pairs.join(pairs.select(F.col("a").alias("u")), F.col("b") == F.col("u"), "left_semi").limit(1)
+    return not twice.count() and not above.count()
+
+
 def large_star(pairs: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the least node of the neighbourhood."""
     both = pairs.union(pairs.select("b", "a"))
