@@ -119,20 +119,27 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, fold: bo
 
 # Two texts of five-word shingles that are 0.8 alike differ in about 0.15 of their SimHash bits, far
 # beyond a radius that 64 bits can cover by variants.  So several narrow fingerprints are cut from one
-# wide one, each is ball-hashed by itself, and what meets in any family is verified on all bits.
+# wide one, each is ball-hashed by itself, and what meets in any family is verified on the sets of shingles.
 
 
-def wide_simhash(text: str | None, shingle: int = 5) -> np.ndarray:
-    """WIDE majority bits over the hashes of all word shingles, as unsigned longs; zero without words."""
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """XXH64 (seed 42) of every run of ``shingle`` words, of all words where there are fewer; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = max(1, len(words) - shingle + 1)
     if not words:
-        return np.zeros(WIDE // 64, np.uint64)
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - shingle + 1)
     joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
     starts = np.r_[0, ends[:-1]][:n].tolist()
     stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def wide_simhash(hashes: np.ndarray) -> np.ndarray:
+    """WIDE majority bits over the hashes of a text's shingles, as unsigned longs; zero without any."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(WIDE // 64, np.uint64)
     ones = np.zeros(WIDE, np.int64)
     salts = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, n, 1 << 14):
@@ -141,18 +148,33 @@ def wide_simhash(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.packbits(2 * ones > n, bitorder="little").view("<u8").astype(np.uint64)
 
 
-def bit_share(similarity: float) -> float:
-    """The share of SimHash bits in which texts of this Jaccard similarity are expected to differ."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose sets of shingles (node, shingles in ``rows``) are that alike by Jaccard."""
+    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
+    few = needed.count() * 16 <= BROADCAST_BYTES
+    sets = staged(rows.select("node", "shingles").join(F.broadcast(needed) if few else needed, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias("set_" + name))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common + 1e-9 >= similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+    return both.mapInArrow(check, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, families: int = 8, radius: int = 2) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, text_key, keeper: the least (doc_id, text_key) of each row's group.
 
     Every family emits its variants within half the radius; in a meeting each member is linked to the
-    first and to the one before it, and a link stands if the wide fingerprints differ in no more bits
-    than texts of ``similarity`` do, with a tenth on top for the spread of the estimate.  Copies and
-    texts with one wide fingerprint collapse first.  Null and empty texts are one group.
+    first and to the one before it, and a link stands if the Jaccard similarity of the sets of shingles
+    is ``similarity`` or more.  Texts with one set of shingles collapse first.  Null and empty texts are
+    one group.
     """
     longs = [f"f{i}" for i in range(WIDE // 64)]
     width = WIDE // families
@@ -160,8 +182,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, f
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = np.array([wide_simhash(t.as_py(), shingle) for t in batch.column(2)], np.uint64).reshape(-1, len(longs))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(np.ascontiguousarray(wide[:, i]).view(np.int64)) for i in range(len(longs)))], ["doc_id", "text_key", *longs])
+            hashes = [shingle_hashes(t.as_py(), shingle) for t in batch.column(2)]
+            wide = np.array([wide_simhash(h) for h in hashes], np.uint64).reshape(-1, len(longs))
+            sets = [np.unique(h).astype("<u8").tobytes() for h in hashes]
+            node = np.array([xxhash.xxh64_intdigest(s, 42) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node), pa.array(sets, pa.binary()), *(pa.array(np.ascontiguousarray(wide[:, i]).view(np.int64)) for i in range(len(longs)))], ["doc_id", "text_key", "node", "shingles", *longs])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,14 +215,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, f
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("text_key"), text.alias("text"))
-    schema = "doc_id long, text_key int, " + ", ".join(f"{c} long" for c in longs)
-    rows = staged(slim.mapInArrow(marks, schema).withColumn("node", F.xxhash64(*longs)), "wide")
-    nodes = staged(rows.groupBy("node", *longs).agg(F.min(F.struct("doc_id", "text_key")).alias("least")), "nodes")
+    schema = "doc_id long, text_key int, node long, shingles binary, " + ", ".join(f"{c} long" for c in longs)
+    rows = staged(slim.mapInArrow(marks, schema), "wide")
+    nodes = staged(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), *[F.min(c).alias(c) for c in longs]), "nodes")
     dealt = nodes.select("node", *longs).mapInArrow(emit, "variant long, node long").repartition(tasks(docs.sparkSession), "variant").sortWithinPartitions("variant", "node")
     pairs = dealt.mapInArrow(met, "a long, b long").distinct()
-    side = lambda name: nodes.select(F.col("node").alias(name), *[F.col(c).alias(name + c) for c in longs])
-    gap = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in longs), F.lit(0))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").where(gap <= int(WIDE * bit_share(similarity) * 1.1)).select("a", "b")
+    links = verified(staged(pairs, "pairs"), rows, similarity)
     roots = connected_components(links)
     grouped = nodes.join(roots, "node", "left").select(F.col("node").alias("n"), "least", F.coalesce("root", "node").alias("root"))
     keepers = grouped.groupBy("root").agg(F.min("least").alias("keeper"))
