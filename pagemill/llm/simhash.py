@@ -23,8 +23,9 @@ from .common import staged, tasks
 from .components import connected_components
 
 BITS = 64
-#: The wide fingerprint has this many bits in all; its families are cut from it.
-WIDE = 256
+#: Bands of a text's least hashes, and least hashes in a band: two texts that are 0.8 alike share no band
+#: with probability (1 - 0.8 ** 5) ** 24, less than 1 in 10,000.
+BANDS, BAND = 24, 5
 
 
 def simhash(text: str | None, shingle: int = 3, fold: bool = True) -> int:
@@ -118,8 +119,9 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, fold: bo
 # ---------------------------------------------------------------- lower similarity
 
 # Two texts of five-word shingles that are 0.8 alike differ in about 0.15 of their SimHash bits, far
-# beyond a radius that 64 bits can cover by variants.  So several narrow fingerprints are cut from one
-# wide one, each is ball-hashed by itself, and what meets in any family is verified on the sets of shingles.
+# beyond a radius that a ball of variants can cover, and slices of a wider fingerprint lose a third of such
+# pairs.  So texts meet here by bands of least hashes (a band is shared with probability similarity ** BAND,
+# however short or long the texts are), and what meets in any band is verified on the sets of shingles.
 
 
 def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -135,17 +137,24 @@ def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n)
 
 
-def wide_simhash(hashes: np.ndarray) -> np.ndarray:
-    """WIDE majority bits over the hashes of a text's shingles, as unsigned longs; zero without any."""
-    n = len(hashes)
-    if not n:
-        return np.zeros(WIDE // 64, np.uint64)
-    ones = np.zeros(WIDE, np.int64)
-    salts = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, n, 1 << 14):
-        part = mix64(hashes[at : at + (1 << 14), None] ^ salts[None, :]).astype("<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > n, bitorder="little").view("<u8").astype(np.uint64)
+SALTS = mix64(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """For each of SALTS the least salted hash of a text's shingles."""
+    least = np.full(len(SALTS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, mix64(hashes[None, at : at + (1 << 12)] ^ SALTS[:, None]).min(1))
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One hash a band over its number and its least hashes."""
+    parts = least.reshape(BANDS, BAND)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for i in range(BAND):
+        keys = mix64(keys ^ parts[:, i])
+    return keys
 
 
 def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
@@ -168,35 +177,28 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, families: int = 8, radius: int = 2) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, text_key, keeper: the least (doc_id, text_key) of each row's group.
 
-    Every family emits its variants within half the radius; in a meeting each member is linked to the
-    first and to the one before it, and a link stands if the Jaccard similarity of the sets of shingles
+    Every text emits the keys of its bands; in a meeting each member is linked to the first and to the
+    one before it, and a link stands if the Jaccard similarity of the sets of shingles
     is ``similarity`` or more.  Texts with one set of shingles collapse first.  Null and empty texts are
     one group.
     """
-    longs = [f"f{i}" for i in range(WIDE // 64)]
-    width = WIDE // families
-    masks = np.array([m & ((1 << width) - 1) for m in (sum(1 << i for i in c) for r in range(radius // 2 + 1) for c in combinations(range(width), r))], np.uint64)
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(t.as_py(), shingle) for t in batch.column(2)]
-            wide = np.array([wide_simhash(h) for h in hashes], np.uint64).reshape(-1, len(longs))
-            sets = [np.unique(h).astype("<u8").tobytes() for h in hashes]
+            hashes = [np.unique(shingle_hashes(t.as_py(), shingle)).astype("<u8") for t in batch.column(2)]
+            sets = [h.tobytes() for h in hashes]
             node = np.array([xxhash.xxh64_intdigest(s, 42) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node), pa.array(sets, pa.binary()), *(pa.array(np.ascontiguousarray(wide[:, i]).view(np.int64)) for i in range(len(longs)))], ["doc_id", "text_key", "node", "shingles", *longs])
+            keys = [band_keys(least_hashes(h)).astype("<u8").tobytes() if len(h) else b"" for h in hashes]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node), pa.array(sets, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "text_key", "node", "shingles", "keys"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(0).to_numpy()
-            wide = np.stack([batch.column(1 + i).to_numpy().view(np.uint64) for i in range(len(longs))], 1)
-            for k in range(families):
-                at = k * width
-                narrow = (wide[:, at // 64] >> np.uint64(at % 64)) & np.uint64((1 << width) - 1)
-                key = np.uint64(k << width) | (narrow[:, None] ^ masks[None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(node, len(masks)))], ["variant", "node"])
+            keys = [np.frombuffer(k.as_py(), "<i8") for k in batch.column(1)]
+            node = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(node)], ["variant", "node"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # variant, its first node, its last node
@@ -215,10 +217,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, f
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("text_key"), text.alias("text"))
-    schema = "doc_id long, text_key int, node long, shingles binary, " + ", ".join(f"{c} long" for c in longs)
-    rows = staged(slim.mapInArrow(marks, schema), "wide")
-    nodes = staged(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), *[F.min(c).alias(c) for c in longs]), "nodes")
-    dealt = nodes.select("node", *longs).mapInArrow(emit, "variant long, node long").repartition(tasks(docs.sparkSession), "variant").sortWithinPartitions("variant", "node")
+    schema = "doc_id long, text_key int, node long, shingles binary, keys binary"
+    rows = staged(slim.mapInArrow(marks, schema), "marks")
+    nodes = staged(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.min("keys").alias("keys")), "nodes")
+    dealt = nodes.select("node", "keys").mapInArrow(emit, "variant long, node long").repartition(tasks(docs.sparkSession), "variant").sortWithinPartitions("variant", "node")
     pairs = dealt.mapInArrow(met, "a long, b long").distinct()
     links = verified(staged(pairs, "pairs"), rows, similarity)
     roots = connected_components(links)

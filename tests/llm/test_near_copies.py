@@ -31,3 +31,22 @@ def test_texts_below_the_similarity_stay(spark):
         texts += [" ".join(w), " ".join(w[:178] + words(rng, 26))]  # 174 of 226 shingles, 0.77
     assert all(0.76 < alike(a, b) < 0.78 for a, b in zip(texts[::2], texts[1::2]))
     assert all(keeper == doc for doc, keeper in groups(spark, texts).items())
+
+
+def test_pairs_of_the_similarity_meet(spark):
+    rng, texts = random.Random(4), []
+    for _ in range(150):
+        w = words(rng, 204)
+        texts += [" ".join(w), " ".join(w[:182] + words(rng, 22))]  # 178 of 222 shingles, 0.802
+    assert all(0.8 <= alike(a, b) < 0.805 for a, b in zip(texts[::2], texts[1::2]))
+    got = groups(spark, texts)
+    assert all(got[i] == got[i + 1] for i in range(0, len(texts), 2))
+
+
+def test_short_pairs_of_the_similarity_meet(spark):
+    rng, texts = random.Random(5), []
+    for _ in range(100):
+        w = words(rng, 9)
+        texts += [" ".join(w), " ".join(w[:8])]  # 5 and 4 shingles
+    got = groups(spark, texts)
+    assert all(got[i] == got[i + 1] for i in range(0, len(texts), 2))
