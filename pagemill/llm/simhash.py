@@ -26,6 +26,8 @@ BITS = 64
 #: Bands of a text's least hashes, and least hashes in a band: two texts that are 0.8 alike share no band
 #: with probability (1 - 0.8 ** 5) ** 24, less than 1 in 10,000.
 BANDS, BAND = 24, 5
+#: Meetings of up to this many texts compare all pairs at once.
+SMALL = 16
 
 
 def simhash(text: str | None, shingle: int = 3, fold: bool = True) -> int:
@@ -157,6 +159,72 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return keys
 
 
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of the first column, from batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        v = batch.column(0).to_numpy()
+        edges = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else []
+        for lo, hi in zip(edges, np.r_[edges[1:], len(v)].astype(int)):
+            if held and held[0].column(0)[0].as_py() != v[lo]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def close_pairs(node: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs with different roots whose set sizes allow the similarity and whose sketches do not speak against it.
+
+    Sketches may fall short of the similarity by four standard deviations of their estimate.
+    """
+    k, n = len(node), sketch.shape[1]
+    least = n * (similarity - 4 * (similarity * (1 - similarity) / n) ** 0.5)
+    step = max(1, (1 << 21) // k)
+    for at in range(0, k, step):
+        x = slice(at, min(k, at + step))
+        fits = (root[x, None] != root[None, :]) & (np.minimum(size[x, None], size[None, :]) + 1e-9 >= similarity * np.maximum(size[x, None], size[None, :]))
+        i, j = np.nonzero(fits & (np.arange(k)[None, :] > np.arange(at, x.stop)[:, None]))
+        for part in range(0, len(i), 1 << 16):
+            p, q = i[part : part + (1 << 16)] + at, j[part : part + (1 << 16)]
+            near = (sketch[p] == sketch[q]).sum(1) >= least
+            a, b = node[p[near]], node[q[near]]
+            yield np.maximum(a, b), np.minimum(a, b)
+
+
+def meeting_pairs(every: bool, similarity: float):
+    """A mapInArrow function over sorted (variant, node, root, size, sketch) that yields pairs (a, b).
+
+    With ``every`` all pairs of a meeting with different roots; else those of small meetings only, and in
+    a larger one each member with the one nearest to all, with the first and with the one before it.
+    """
+
+    def pairs_of(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        node, root, size = (t.column(c).to_numpy() for c in ("node", "root", "size"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        if every or len(node) <= SMALL:
+            yield from close_pairs(node, root, size, sketch, similarity)
+            return
+        common = np.array([np.bincount(c, minlength=256).argmax() for c in sketch.T], np.uint8)
+        centre = node[(sketch == common).sum(1).argmax()]
+        for other in (np.full(len(node), centre), np.full(len(node), node[0]), np.r_[node[0], node[:-1]]):
+            yield np.maximum(node, other)[node != other], np.minimum(node, other)[node != other]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for t in meetings(batches):
+            for pair in pairs_of(t) if t.num_rows > 1 else ():
+                held.append(pair)
+                if sum(len(a) for a, _ in held[-64:]) > 1 << 14 or len(held) > 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["a", "b"])
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["a", "b"])
+
+    return run
+
+
 def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) of nodes whose sets of shingles (node, shingles in ``rows``) are that alike by Jaccard."""
     needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
@@ -180,8 +248,9 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, text_key, keeper: the least (doc_id, text_key) of each row's group.
 
-    Every text emits the keys of its bands; in a meeting each member is linked to the first and to the
-    one before it, and a link stands if the Jaccard similarity of the sets of shingles
+    Every text emits the keys of its bands.  Small meetings compare all pairs; larger ones first link
+    their members to a few of them, and then compare all pairs that these links have not joined into one
+    component, which need no link any more.  A link stands if the Jaccard similarity of the sets of shingles
     is ``similarity`` or more.  Texts with one set of shingles collapse first.  Null and empty texts are
     one group.
     """
@@ -191,39 +260,40 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
             hashes = [np.unique(shingle_hashes(t.as_py(), shingle)).astype("<u8") for t in batch.column(2)]
             sets = [h.tobytes() for h in hashes]
             node = np.array([xxhash.xxh64_intdigest(s, 42) for s in sets], np.uint64).view(np.int64)
-            keys = [band_keys(least_hashes(h)).astype("<u8").tobytes() if len(h) else b"" for h in hashes]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node), pa.array(sets, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "text_key", "node", "shingles", "keys"])
+            least = [least_hashes(h) for h in hashes]
+            keys = [band_keys(v).astype("<u8").tobytes() if len(h) else b"" for h, v in zip(hashes, least)]
+            sketch = [v.astype(np.uint8).tobytes() for v in least]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node), *(pa.array(c, pa.binary()) for c in (sets, keys, sketch))], ["doc_id", "text_key", "node", "shingles", "keys", "sketch"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [np.frombuffer(k.as_py(), "<i8") for k in batch.column(1)]
-            node = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(node)], ["variant", "node"])
+            keys = [np.frombuffer(k.as_py(), "<i8") for k in batch.column(0)]
+            at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), *(c.take(at) for c in batch.columns[1:])], ["variant", *batch.schema.names[1:]])
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # variant, its first node, its last node
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            start = np.r_[last is None or v[0] != last[0], v[1:] != v[:-1]]
-            at = np.maximum.accumulate(np.where(start, np.arange(len(v)), -1))
-            head = np.where(at >= 0, node[at], last[1] if last else 0)
-            before = np.r_[last[2] if last else 0, node[:-1]]
-            last = (v[-1], head[-1], node[-1])
-            a, b = np.concatenate([node[~start], node[~start]]), np.concatenate([head[~start], before[~start]])
-            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1)[a != b], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+    def met(given: DataFrame, every: bool) -> DataFrame:
+        dealt = given.repartition(tasks(docs.sparkSession), "variant").sortWithinPartitions("variant", "node")
+        return dealt.mapInArrow(meeting_pairs(every, similarity), "a long, b long").distinct()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("text_key"), text.alias("text"))
-    schema = "doc_id long, text_key int, node long, shingles binary, keys binary"
+    schema = "doc_id long, text_key int, node long, shingles binary, keys binary, sketch binary"
     rows = staged(slim.mapInArrow(marks, schema), "marks")
-    nodes = staged(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.min("keys").alias("keys")), "nodes")
-    dealt = nodes.select("node", "keys").mapInArrow(emit, "variant long, node long").repartition(tasks(docs.sparkSession), "variant").sortWithinPartitions("variant", "node")
-    pairs = dealt.mapInArrow(met, "a long, b long").distinct()
-    links = verified(staged(pairs, "pairs"), rows, similarity)
-    roots = connected_components(links)
+    nodes = staged(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first(F.length("shingles")).alias("size")), "nodes")
+    own = nodes.select("keys", "node", F.col("node").alias("root"), "size", "sketch")
+    first = staged(met(own.mapInArrow(emit, "variant long, node long, root long, size int, sketch binary"), False), "pairs")
+    links = staged(verified(first, rows, similarity), "verified")
+    roots = staged(connected_components(links), "roots")
+    # larger meetings of more than one component: all their pairs across components
+    named = nodes.join(roots, "node", "left").select("keys", "node", F.coalesce("root", "node").alias("root"), "size", "sketch")
+    slim_keys = named.select("keys", "root").mapInArrow(emit, "variant long, root long")
+    mixed = staged(slim_keys.groupBy("variant").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi")).where((F.col("k") > SMALL) & (F.col("lo") < F.col("hi"))).select("variant"), "mixed")
+    if mixed.limit(1).count():
+        again = named.mapInArrow(emit, "variant long, node long, root long, size int, sketch binary")
+        few = mixed.count() * 16 <= BROADCAST_BYTES
+        crossing = met(again.join(F.broadcast(mixed) if few else mixed, "variant", "left_semi"), True).join(first, ["a", "b"], "left_anti")
+        more = verified(staged(crossing, "pairs"), rows, similarity)
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     grouped = nodes.join(roots, "node", "left").select(F.col("node").alias("n"), "least", F.coalesce("root", "node").alias("root"))
     keepers = grouped.groupBy("root").agg(F.min("least").alias("keeper"))
     return rows.select("doc_id", "text_key", "node").join(grouped.join(keepers, "root").select("n", "keeper"), F.col("node") == F.col("n")).select("doc_id", "text_key", "keeper")

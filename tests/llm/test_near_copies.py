@@ -50,3 +50,16 @@ def test_short_pairs_of_the_similarity_meet(spark):
         texts += [" ".join(w), " ".join(w[:8])]  # 5 and 4 shingles
     got = groups(spark, texts)
     assert all(got[i] == got[i + 1] for i in range(0, len(texts), 2))
+
+
+def test_crowded_meeting_of_strangers_loses_no_pair(spark):
+    # texts around one passage meet in many bands, their partners are seldom first or next to them
+    rng = random.Random(6)
+    passage, texts = words(rng, 150), []
+    for _ in range(150):
+        own = words(rng, 50)
+        texts += [" ".join(passage + own), " ".join(passage[8:] + own + words(rng, 28))]
+    close = {(i, j) for i in range(len(texts)) for j in range(i) if alike(texts[i], texts[j]) >= 0.8}
+    assert close == {(i + 1, i) for i in range(0, len(texts), 2)}
+    got = groups(spark, texts)
+    assert got == {i: i - i % 2 for i in range(len(texts))}
