@@ -159,6 +159,13 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return keys
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that sets of shingles take little memory at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each value of the first column, from batches sorted by it."""
     held: list[pa.RecordBatch] = []
@@ -233,7 +240,7 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias("set_" + name))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
@@ -256,7 +263,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     """
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hashes = [np.unique(shingle_hashes(t.as_py(), shingle)).astype("<u8") for t in batch.column(2)]
             sets = [h.tobytes() for h in hashes]
             node = np.array([xxhash.xxh64_intdigest(s, 42) for s in sets], np.uint64).view(np.int64)
@@ -266,7 +273,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node), *(pa.array(c, pa.binary()) for c in (sets, keys, sketch))], ["doc_id", "text_key", "node", "shingles", "keys", "sketch"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys = [np.frombuffer(k.as_py(), "<i8") for k in batch.column(0)]
             at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), *(c.take(at) for c in batch.columns[1:])], ["variant", *batch.schema.names[1:]])
