@@ -5,11 +5,11 @@ two, so it does not depend on their order, and a paragraph is inserted or delete
 subtracting its own vector (``add``, ``subtract``).  Every paragraph's vector has
 
 * 8 identity lanes modulo 2^32, hashed from the whole paragraph, for equality;
-* a count of its word pairs modulo 2^32 and 63 likeness lanes modulo 2^16: lane j counts the pairs whose
+* a count of its word pairs modulo 2^32 and 63 likeness lanes modulo 2^32: lane j counts the pairs whose
   64-bit hash has bit j.  Twice a lane less the count is a random +-1 projection of the document's
   multiset of pairs, so the cosine of two such vectors estimates the cosine of the documents.
 
-In hex: 8 x 8 digits, 8 digits, 63 x 4 digits.
+In hex: 8 x 8 digits, 8 digits, 63 x 8 digits.
 """
 
 from __future__ import annotations
@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 from .common import WS, tasks
 
 IDENTITY, LIKENESS = 8, 63
-#: Likeness lanes that share one long while they are summed.  The top field leaves 15 bits free, so the
-#: sum cannot overflow; beyond 65,535 pairs a lane carries into its neighbour, which adds one part in
-#: 65,536 there and keeps the whole vector a sum modulo a power of two.
-PACK = 3
+#: Likeness lanes that share one long while they are summed, in fields of 32 bits.  A text has less than
+#: 2^31 word pairs, so no field carries into its neighbour and a signed sum never wraps.
+PACK = 2
 SEARCH_STEP = 32
 
 
@@ -54,9 +53,9 @@ def hex_lane(value: Column, bits: int) -> Column:
 
 
 def packed(group: int) -> Column:
-    """The bits of lanes 3 g to 3 g + 2 of hash ``a``, each in a 16-bit field."""
+    """The bits of lanes 2 g and 2 g + 1 of hash ``a``, each in a 32-bit field."""
     one = F.lit(1).cast("long")
-    bits = [F.shiftleft(F.shiftrightunsigned("a", PACK * group + i).bitwiseAND(one), 16 * i) for i in range(PACK)]
+    bits = [F.shiftleft(F.shiftrightunsigned("a", PACK * group + i).bitwiseAND(one), 32 * i) for i in range(PACK)]
     return reduce(lambda x, y: x + y, bits)
 
 
@@ -66,11 +65,9 @@ def lanes(fingerprint: Column, first: int, width: int, n: int) -> Column:
 
 
 def _combine(a: Column, b: Column, sign: int) -> Column:
-    parts = []
-    for first, width, n in ((0, 8, IDENTITY + 1), (8 * IDENTITY + 8, 4, LIKENESS)):
-        total = F.zip_with(lanes(a, first, width, n), lanes(b, first, width, n), lambda x, y: x + y * sign)
-        parts.append(F.concat_ws("", F.transform(total, lambda v: hex_lane(v, 4 * width))))
-    return F.concat(*parts)
+    n = IDENTITY + 1 + LIKENESS
+    total = F.zip_with(lanes(a, 0, 8, n), lanes(b, 0, 8, n), lambda x, y: x + y * sign)
+    return F.concat_ws("", F.transform(total, lambda v: hex_lane(v, 32)))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -86,8 +83,8 @@ def subtract(a: Column, b: Column) -> Column:
 def projection(fingerprint: Column) -> Column:
     """63 signed sums from a fingerprint."""
     n = F.conv(F.substr(fingerprint, F.lit(8 * IDENTITY + 1), F.lit(8)), 16, 10).cast("long")
-    centred = lambda c: F.pmod(c * 2 - n + F.lit(32768), F.lit(65536)) - F.lit(32768)
-    return F.transform(lanes(fingerprint, 8 * IDENTITY + 8, 4, LIKENESS), lambda c: centred(c).cast("double"))
+    centred = lambda c: F.pmod(c * 2 - n + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+    return F.transform(lanes(fingerprint, 8 * IDENTITY + 8, 8, LIKENESS), lambda c: centred(c).cast("double"))
 
 
 def bound(value: Column, use) -> Column:
@@ -154,7 +151,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     keys = ["row", "run", "lent", "doc_id", "n_chars", "sha", "edited", "identity", "n"]
     one = sides.select(*keys, F.explode_outer("pairs").alias("a"))
     summed = one.groupBy(*keys).agg(*[F.coalesce(F.sum(packed(g)), F.lit(0)).alias(f"l{g}") for g in range(-(-LIKENESS // PACK))])
-    counts = [hex_lane(F.shiftright(f"l{j // PACK}", 16 * (j % PACK)), 16) for j in range(LIKENESS)]
+    counts = [hex_lane(F.shiftright(f"l{j // PACK}", 32 * (j % PACK)), 32) for j in range(LIKENESS)]
     written = summed.select("row", "run", "lent", "doc_id", "n_chars", "sha", "edited", F.concat(F.lower(F.hex("identity")), hex_lane(F.col("n"), 32), *counts).alias("f"))
     of = lambda edited: F.max(F.when(F.col("edited") == edited, F.col("f")))
     marked = written.groupBy("row", "run", "lent", "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256")).agg(of(False).alias("fingerprint"), of(True).alias("edited_fingerprint"))
