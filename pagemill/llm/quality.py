@@ -7,8 +7,8 @@ model is fitted by dual coordinate descent.  A logistic curve through the margin
 model was not fitted on turns margins into scores.
 
 The model is fitted on the driver from at most ``SAMPLE_ROWS`` labelled rows, the first in the order of a
-hash of doc_id; of a longer text the n-grams of ``SAMPLE_BYTES`` bytes spread over all of it are used in
-fitting.  Scoring reads every whole text where it lies, without a shuffle.
+hash of doc_id.  Fitting reads their whole texts; scoring reads every whole text where it lies, without a
+shuffle.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 6000
-SAMPLE_BYTES = 1 << 16
 RAW_BITS, SHAPE_BITS = 16, 18
 RAW, SHAPES, RUNS = 1 << RAW_BITS, 1 << SHAPE_BITS, 8
 SIZE = RAW + SHAPES + RUNS
@@ -92,14 +91,6 @@ class Grams:
         codes = parts[0] if len(parts) == 1 else self._distinct(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
         return np.concatenate([codes, np.array(self._runs(raw), np.int64)])
 
-    def of_sample(self, text: str | None) -> np.ndarray:
-        """The features that fitting uses: those of evenly spread pieces of a very long text."""
-        raw = text or ""
-        if len(raw) > SAMPLE_BYTES:
-            step = len(raw) // 16
-            raw = "\n".join(raw[i : i + SAMPLE_BYTES // 16] for i in range(0, len(raw), step))
-        return self.of(raw)
-
 
 class Model:
     """Weights by feature number, bias, and the score curve."""
@@ -204,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for batch in batches:
-            codes = [grams.of_sample(t.as_py()).astype("<u4").tobytes() for t in batch.column(2)]
+            codes = [grams.of(t.as_py()).astype("<u4").tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary())], ["doc_id", "quality", "codes"])
 
     got = chosen.select("doc_id", F.col("quality").cast("int"), "text").mapInArrow(run, "doc_id long, quality int, codes binary").toArrow().to_pydict()
