@@ -1,14 +1,15 @@
 """Quality classifier: a support vector machine over naive Bayes features.
 
-A document is the set of its n-grams: hashed 3-byte grams as they stand, 3-grams of character shapes
-(lower, upper, digit, space, each mark by itself), and runs of a repeated word.  Each indicator is scaled
-by its log-count ratio between the classes, the vector is brought to unit length, and a linear hinge-loss
-model is fitted by dual coordinate descent.  A logistic curve through the margins of documents that the
+A document is the set of its n-grams: hashed 3-byte grams as they stand, and 3-grams of character shapes
+(lower, upper, digit, space, each mark by itself).  Each indicator is scaled by its log-count ratio
+between the classes, the vector is brought to unit length, and a linear hinge-loss model is fitted by
+dual coordinate descent.  A logistic curve through the margins of documents that the
 model was not fitted on turns margins into scores.
 
 The model is fitted on the driver from at most ``SAMPLE_ROWS`` labelled rows, the first in the order of a
-hash of doc_id.  Fitting reads their whole texts; scoring reads every whole text where it lies, without a
-shuffle.
+hash of doc_id.  Fitting reads their whole texts; what the driver gets of each is its set of features, at
+most ``SIZE`` bits, so the whole sample is at most ``SAMPLE_ROWS * SIZE / 8`` bytes (246 MB) whatever the
+texts' lengths.  Scoring reads every whole text where it lies, without a shuffle, very long ones in pieces.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 6000
 RAW_BITS, SHAPE_BITS = 16, 18
-RAW, SHAPES, RUNS = 1 << RAW_BITS, 1 << SHAPE_BITS, 8
-SIZE = RAW + SHAPES + RUNS
+RAW, SHAPES = 1 << RAW_BITS, 1 << SHAPE_BITS
+SIZE = RAW + SHAPES
 #: Texts are read in pieces of this many bytes, so a very long one needs no more memory.
 PIECE = 1 << 20
 
@@ -74,22 +75,26 @@ class Grams:
         shape = (s[:-2] << 12 | s[1:-1] << 6 | s[2:]) + np.uint32(RAW)
         return self._distinct(np.concatenate([plain, shape]).astype(np.int64))
 
-    def _runs(self, raw: bytes) -> list[int]:
-        """One indicator a run length from 2 to 9: some word stands that often in a row."""
-        words = raw.split()
-        same = np.fromiter((a == b for a, b in zip(words, words[1:])), np.int8, max(0, len(words) - 1))
-        if not same.any():
-            return []
-        edges = np.flatnonzero(np.diff(np.r_[0, same, 0]))
-        longest = int((edges[1::2] - edges[::2]).max())
-        return [RAW + SHAPES + i for i in range(min(longest, RUNS))]
-
     def of(self, text: str | None) -> np.ndarray:
         """All features of a text, each once; none for a null or empty text."""
         raw = (text or "").encode("utf-8", "surrogatepass")
         parts = [self._piece(raw[i : i + PIECE + 2]) for i in range(0, len(raw), PIECE)]
-        codes = parts[0] if len(parts) == 1 else self._distinct(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
-        return np.concatenate([codes, np.array(self._runs(raw), np.int64)])
+        return parts[0] if len(parts) == 1 else self._distinct(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+
+
+def packed(codes: np.ndarray) -> bytes:
+    """A set of features as numbers, or as bits where that is shorter."""
+    if 4 * len(codes) < SIZE // 8:
+        return np.sort(codes).astype("<u4").tobytes()
+    bits = np.zeros(SIZE, bool)
+    bits[codes] = True
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(row: bytes) -> np.ndarray:
+    if len(row) == SIZE // 8:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(row, np.uint8)))
+    return np.frombuffer(row, "<u4")
 
 
 class Model:
@@ -108,28 +113,26 @@ class Model:
         return float(1 / (1 + np.exp(-z))) if z > -500 else 0.0
 
 
-def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+def log_count_ratios(rows: list[bytes], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
     """ln of a feature's share in class 1 over its share in class -1, smoothed."""
     p, q = np.full(SIZE, alpha), np.full(SIZE, alpha)
     for codes, label in zip(rows, y):
-        (p if label > 0 else q)[codes] += 1
+        (p if label > 0 else q)[unpacked(codes)] += 1
     return (np.log(p / (alpha * 2 + (y > 0).sum())) - np.log(q / (alpha * 2 + (y < 0).sum()))).astype(np.float32)
 
 
-def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, c: float = 1.0, epochs: int = 15, seed: int = 7) -> tuple[np.ndarray, float]:
+def dual_descent(rows: list[bytes], y: np.ndarray, ratio: np.ndarray, c: float = 10.0, epochs: int = 15, seed: int = 7) -> tuple[np.ndarray, float]:
     """The hinge-loss SVM by dual coordinate descent; classes weigh the same in total."""
     n, rng = len(rows), np.random.default_rng(seed)
     upper = np.where(y > 0, c * n / (2 * max(1, (y > 0).sum())), c * n / (2 * max(1, (y < 0).sum())))
     w, bias, a = np.zeros(SIZE, np.float64), 0.0, np.zeros(n)
-    values = []
-    for codes in rows:
-        v = ratio[codes].astype(np.float64)
-        size = np.sqrt(v @ v)
-        values.append(v / size if size else v)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(n):
-            codes, v = rows[i], values[i]
+            codes = unpacked(rows[i])
+            v = ratio[codes].astype(np.float64)
+            size = np.sqrt(v @ v)
+            v = v / size if size else v
             gradient = y[i] * (v @ w[codes] + bias) - 1
             new = min(max(a[i] - gradient / (v @ v + 1), 0.0), upper[i])
             if new != a[i]:
@@ -158,8 +161,8 @@ def curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(beta[0], 1e-3)), float(beta[1])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
-    """Labels are 1 or 0.  A fifth of the rows places the curve and is then fitted on as well.
+def fit(rows: list[bytes], labels: np.ndarray) -> Model:
+    """``rows`` are packed sets of features, labels are 1 or 0.  A fifth of the rows places the curve and is then fitted on as well.
 
     With one class or no rows the model scores every text by the share of class 1 (one half without rows).
     """
@@ -173,7 +176,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
         part = [r for r, out in zip(rows, aside) if not out]
         ratio = log_count_ratios(part, y[~aside])
         m = Model(ratio, *dual_descent(part, y[~aside], ratio), 1.0, 0.0)
-        slope, shift = curve(np.array([m.margin(r) for r, out in zip(rows, aside) if out]), y[aside])
+        slope, shift = curve(np.array([m.margin(unpacked(r)) for r, out in zip(rows, aside) if out]), y[aside])
     ratio = log_count_ratios(rows, y)
     return Model(ratio, *dual_descent(rows, y, ratio), slope, shift)
 
@@ -195,17 +198,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for batch in batches:
-            codes = [grams.of(t.as_py()).astype("<u4").tobytes() for t in batch.column(2)]
+            codes = [packed(grams.of(t.as_py())) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary())], ["doc_id", "quality", "codes"])
 
     got = chosen.select("doc_id", F.col("quality").cast("int"), "text").mapInArrow(run, "doc_id long, quality int, codes binary").toArrow().to_pydict()
     order = sorted(range(len(got["doc_id"])), key=lambda i: (zlib.crc32(str(got["doc_id"][i]).encode()), got["doc_id"][i], got["codes"][i]))
-    rows = [np.frombuffer(got["codes"][i], "<u4").astype(np.int64) for i in order]
-    return fit(rows, np.array([got["quality"][i] for i in order]))
+    return fit([got["codes"][i] for i in order], np.array([got["quality"][i] for i in order]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text, ...) -> their columns and ``score``; null and empty texts too."""
+    """``docs`` (doc_id, text, ...) -> their columns and ``score``; null and empty texts too.
+
+    A ``score`` that the documents bring gives way to the model's.
+    """
+    docs = docs.drop("score")
     sent = docs.sparkSession.sparkContext.broadcast((model.ratio, model.weight, model.bias, model.slope, model.shift))
     names, at = docs.columns, docs.columns.index("text")
     schema = docs.select("*", F.lit(0.0).alias("score")).schema
@@ -219,10 +225,29 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, all their columns whatever their names.
+
+    Null and empty texts are scored like any other; repeated rows stay or go together; an empty table
+    gives an empty result.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((model.ratio, model.weight, model.bias, model.slope, model.shift))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, m = Grams(), Model(*sent.value)
+        for batch in batches:
+            yield batch.filter(pa.array([m.score(grams.of(t.as_py())) >= least for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs``, ``labels`` -> doc_id, held_out, score, predicted, one row per input row.
 
-    Only doc_id and text are read; an empty table gives an empty result; repeated rows are scored alike.
+    Only doc_id and text are read, so other columns may have any name.  Null and empty texts have no
+    features and score the model's bias; very long texts are read whole, in pieces; repeated rows and
+    equal texts are scored alike; an empty table gives an empty result, no labels a score of one half.
     """
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     scored = score(slim, train(slim, labels))
