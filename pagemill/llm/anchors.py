@@ -81,7 +81,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     repeated = bool(slim.groupBy("doc_id").count().where("count > 1").limit(1).count())
-    return slim.select("doc_id", (F.hash("text") if repeated else F.lit(0)).alias("text_key"), "text")
+    return slim.select("doc_id", (F.xxhash64("text") if repeated else F.lit(0).cast("long")).alias("text_key"), "text")
 
 
 AnchorFn = Callable[[str], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
@@ -135,9 +135,9 @@ def repeated_anchors(texts: DataFrame, find: Callable[[], AnchorFn]) -> DataFram
         if held is not None and (held.column(4)[0].as_py() or (before is not None and held.column(0)[0].as_py() == before)):
             yield held.select(["doc_id", "text_key", "place"])
 
-    rows = texts.mapInArrow(emit, "route long, doc_id long, text_key int, place long, sure boolean")
+    rows = texts.mapInArrow(emit, "route long, doc_id long, text_key long, place long, sure boolean")
     dealt = rows.repartition(tasks(texts.sparkSession), "route").sortWithinPartitions("route")
-    found = dealt.mapInArrow(meet, "doc_id long, text_key int, place long")
+    found = dealt.mapInArrow(meet, "doc_id long, text_key long, place long")
     return staged(found.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places")), "anchors")
 
 
@@ -183,6 +183,6 @@ def runs_per_document(ranges: DataFrame, name: str) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "text_key", "runs"])
 
     per = ranges.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    out = staged(per.mapInArrow(merge, "doc_id long, text_key int, runs array<long>"), name)
+    out = staged(per.mapInArrow(merge, "doc_id long, text_key long, runs array<long>"), name)
     size = out.agg(F.sum(F.size("runs") * 8 + 32)).first()[0] or 0
     return out, int(size)

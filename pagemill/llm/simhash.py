@@ -283,8 +283,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         return dealt.mapInArrow(meeting_pairs(every, similarity), "a long, b long").distinct()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("text_key"), text.alias("text"))
-    schema = "doc_id long, text_key int, node long, shingles binary, keys binary, sketch binary"
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    schema = "doc_id long, text_key long, node long, shingles binary, keys binary, sketch binary"
     rows = staged(slim.mapInArrow(marks, schema), "marks")
     nodes = staged(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first(F.length("shingles")).alias("size")), "nodes")
     own = nodes.select("keys", "node", F.col("node").alias("root"), "size", "sketch")
@@ -324,5 +324,5 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows (doc_id, text_key) of ``gone``: in place when those are few, else shuffled."""
     few = gone.count() * 24 <= BROADCAST_BYTES
     names = gone.select(F.col("doc_id").alias("g_doc"), F.col("text_key").alias("g_key"))
-    met = docs["doc_id"].eqNullSafe(names["g_doc"]) & (F.hash(F.coalesce(docs["text"].cast("string"), F.lit(""))) == names["g_key"])
+    met = docs["doc_id"].eqNullSafe(names["g_doc"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == names["g_key"])
     return docs.join(F.broadcast(names) if few else names, met, "left_anti")

@@ -105,7 +105,7 @@ def extensions(met: DataFrame, length: int) -> DataFrame:
             at_row = pa.array(rows)
             yield pa.RecordBatch.from_arrays([pa.array(names[0].view(np.int64)), pa.array((names[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(at_row), batch.column(1).take(at_row), pa.array(begin), pa.array(stop)], ["x", "y", "doc_id", "text_key", "start", "stop"])
 
-    return met.select("doc_id", "text_key", "text", "places").mapInArrow(run, "x long, y int, doc_id long, text_key int, start long, stop long")
+    return met.select("doc_id", "text_key", "text", "places").mapInArrow(run, "x long, y int, doc_id long, text_key long, start long, stop long")
 
 
 def later_windows(windows: DataFrame, length: int) -> DataFrame:
@@ -125,7 +125,7 @@ def later_windows(windows: DataFrame, length: int) -> DataFrame:
             rows = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(start[keep]), pa.array(np.where(stop[keep] > 0, stop[keep], start[keep] + length))], ["doc_id", "text_key", "start", "stop"])
 
-    return windows.mapInArrow(run, "doc_id long, text_key int, start long, stop long")
+    return windows.mapInArrow(run, "doc_id long, text_key long, start long, stop long")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, int]:

@@ -179,7 +179,7 @@ def contexts_of(met: DataFrame, length: int) -> DataFrame:
                 ["doc_id", "text_key", "first", "n", "a", "b", "back", "context"],
             )
 
-    return met.select("doc_id", "text_key", "text", "places").mapInArrow(run, "doc_id long, text_key int, first long, n int, a long, b long, back int, context binary")
+    return met.select("doc_id", "text_key", "text", "places").mapInArrow(run, "doc_id long, text_key long, first long, n int, a long, b long, back int, context binary")
 
 
 def sampled_splitters(contexts: DataFrame, buckets: int, rows: int, lead: int) -> list[bytes]:
