@@ -181,13 +181,20 @@ def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def close_pairs(node: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs with different roots whose set sizes allow the similarity and whose sketches do not speak against it.
+def plausible(p: np.ndarray, q: np.ndarray, size: np.ndarray, sketch: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the pairs of rows p, q can be that alike, by the sizes of their sets and by their sketches.
 
     Sketches may fall short of the similarity by four standard deviations of their estimate.
     """
-    k, n = len(node), sketch.shape[1]
+    n = sketch.shape[1]
     least = n * (similarity - 4 * (similarity * (1 - similarity) / n) ** 0.5)
+    fits = np.minimum(size[p], size[q]) + 1e-9 >= similarity * np.maximum(size[p], size[q])
+    return fits & ((sketch[p] == sketch[q]).sum(1) >= least)
+
+
+def close_pairs(node: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All plausible pairs with different roots."""
+    k = len(node)
     step = max(1, (1 << 21) // k)
     for at in range(0, k, step):
         x = slice(at, min(k, at + step))
@@ -195,7 +202,7 @@ def close_pairs(node: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np
         i, j = np.nonzero(fits & (np.arange(k)[None, :] > np.arange(at, x.stop)[:, None]))
         for part in range(0, len(i), 1 << 16):
             p, q = i[part : part + (1 << 16)] + at, j[part : part + (1 << 16)]
-            near = (sketch[p] == sketch[q]).sum(1) >= least
+            near = plausible(p, q, size, sketch, similarity)
             a, b = node[p[near]], node[q[near]]
             yield np.maximum(a, b), np.minimum(a, b)
 
@@ -204,7 +211,8 @@ def meeting_pairs(every: bool, similarity: float):
     """A mapInArrow function over sorted (variant, node, root, size, sketch) that yields pairs (a, b).
 
     With ``every`` all pairs of a meeting with different roots; else those of small meetings only, and in
-    a larger one each member with the one nearest to all, with the first and with the one before it.
+    a larger one each member with the one nearest to all, with the first and with the one before it, where
+    the two can be that alike.
     """
 
     def pairs_of(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -214,9 +222,12 @@ def meeting_pairs(every: bool, similarity: float):
             yield from close_pairs(node, root, size, sketch, similarity)
             return
         common = np.array([np.bincount(c, minlength=256).argmax() for c in sketch.T], np.uint8)
-        centre = node[(sketch == common).sum(1).argmax()]
-        for other in (np.full(len(node), centre), np.full(len(node), node[0]), np.r_[node[0], node[:-1]]):
-            yield np.maximum(node, other)[node != other], np.minimum(node, other)[node != other]
+        every_row = np.arange(len(node))
+        centre = (sketch == common).sum(1).argmax()
+        for other in (np.full(len(node), centre), np.zeros(len(node), np.int64), np.maximum(every_row - 1, 0)):
+            near = (every_row != other) & plausible(every_row, other, size, sketch, similarity)
+            x, y = node[near], node[other[near]]
+            yield np.maximum(x, y), np.minimum(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
