@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, tasks
+from .common import lean, staged, tasks
 
 POSITION_BITS = 24
 #: A text's k-grams are looked at in pieces of this many, so positions in a piece fit their bits.
@@ -135,9 +135,9 @@ def repeated_anchors(texts: DataFrame, find: Callable[[], AnchorFn]) -> DataFram
         if held is not None and (held.column(4)[0].as_py() or (before is not None and held.column(0)[0].as_py() == before)):
             yield held.select(["doc_id", "text_key", "place"])
 
-    rows = texts.mapInArrow(emit, "route long, doc_id long, text_key long, place long, sure boolean")
+    rows = texts.mapInArrow(lean(emit), "route long, doc_id long, text_key long, place long, sure boolean")
     dealt = rows.repartition(tasks(texts.sparkSession), "route").sortWithinPartitions("route")
-    found = dealt.mapInArrow(meet, "doc_id long, text_key long, place long")
+    found = dealt.mapInArrow(lean(meet), "doc_id long, text_key long, place long")
     return staged(found.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places")), "anchors")
 
 
@@ -183,6 +183,6 @@ def runs_per_document(ranges: DataFrame, name: str) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "text_key", "runs"])
 
     per = ranges.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    out = staged(per.mapInArrow(merge, "doc_id long, text_key long, runs array<long>"), name)
+    out = staged(per.mapInArrow(lean(merge), "doc_id long, text_key long, runs array<long>"), name)
     size = out.agg(F.sum(F.size("runs") * 8 + 32)).first()[0] or 0
     return out, int(size)

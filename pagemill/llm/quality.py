@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 6000
 RAW_BITS, SHAPE_BITS = 16, 18
@@ -201,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             codes = [packed(grams.of(t.as_py())) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary())], ["doc_id", "quality", "codes"])
 
-    got = chosen.select("doc_id", F.col("quality").cast("int"), "text").mapInArrow(run, "doc_id long, quality int, codes binary").toArrow().to_pydict()
+    got = chosen.select("doc_id", F.col("quality").cast("int"), "text").mapInArrow(lean(run), "doc_id long, quality int, codes binary").toArrow().to_pydict()
     order = sorted(range(len(got["doc_id"])), key=lambda i: (zlib.crc32(str(got["doc_id"][i]).encode()), got["doc_id"][i], got["codes"][i]))
     return fit([got["codes"][i] for i in order], np.array([got["quality"][i] for i in order]))
 
@@ -222,7 +224,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores = pa.array([m.score(grams.of(t.as_py())) for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -239,7 +241,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([m.score(grams.of(t.as_py())) >= least for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import BROADCAST_BYTES, mix64
-from .common import staged, tasks
+from .common import lean, staged, tasks
 from .components import connected_components
 
 BITS = 64
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, fold: bool = True) -> DataFr
             values = np.array([simhash(t.as_py(), shingle, fold) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def ball(radius: int) -> list[int]:
@@ -97,7 +97,7 @@ def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     if len(near) != len(far):
         raise ValueError("only even radii are supported")
     dealt = variants.repartition(tasks(distinct.sparkSession), "variant").sortWithinPartitions("variant", "fp")
-    return dealt.mapInArrow(met, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(met), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, fold: bool = True) -> DataFrame:
@@ -260,7 +260,7 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(check, "a long, b long")
+    return both.mapInArrow(lean(check), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -291,23 +291,23 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
 
     def met(given: DataFrame, every: bool) -> DataFrame:
         dealt = given.repartition(tasks(docs.sparkSession), "variant").sortWithinPartitions("variant", "node")
-        return dealt.mapInArrow(meeting_pairs(every, similarity), "a long, b long").distinct()
+        return dealt.mapInArrow(lean(meeting_pairs(every, similarity)), "a long, b long").distinct()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     schema = "doc_id long, text_key long, node long, shingles binary, keys binary, sketch binary"
-    rows = staged(slim.mapInArrow(marks, schema), "marks")
+    rows = staged(slim.mapInArrow(lean(marks), schema), "marks")
     nodes = staged(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first(F.length("shingles")).alias("size")), "nodes")
     own = nodes.select("keys", "node", F.col("node").alias("root"), "size", "sketch")
-    first = staged(met(own.mapInArrow(emit, "variant long, node long, root long, size int, sketch binary"), False), "pairs")
+    first = staged(met(own.mapInArrow(lean(emit), "variant long, node long, root long, size int, sketch binary"), False), "pairs")
     links = staged(verified(first, rows, similarity), "verified")
     roots = staged(connected_components(links), "roots")
     # larger meetings of more than one component: all their pairs across components
     named = nodes.join(roots, "node", "left").select("keys", "node", F.coalesce("root", "node").alias("root"), "size", "sketch")
-    slim_keys = named.select("keys", "root").mapInArrow(emit, "variant long, root long")
+    slim_keys = named.select("keys", "root").mapInArrow(lean(emit), "variant long, root long")
     mixed = staged(slim_keys.groupBy("variant").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi")).where((F.col("k") > SMALL) & (F.col("lo") < F.col("hi"))).select("variant"), "mixed")
     if mixed.limit(1).count():
-        again = named.mapInArrow(emit, "variant long, node long, root long, size int, sketch binary")
+        again = named.mapInArrow(lean(emit), "variant long, node long, root long, size int, sketch binary")
         few = mixed.count() * 16 <= BROADCAST_BYTES
         crossing = met(again.join(F.broadcast(mixed) if few else mixed, "variant", "left_semi"), True).join(first, ["a", "b"], "left_anti")
         more = verified(staged(crossing, "pairs"), rows, similarity)

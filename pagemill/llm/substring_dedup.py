@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import AnchorFn, anchors_of, keyed, merged, mix64, pack_range, repeated_anchors, runs_per_document, unpack, with_lists
-from .common import forget, tasks
+from .common import forget, lean, tasks
 
 LENGTH, GRAM = 13, 5
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -105,7 +105,7 @@ def extensions(met: DataFrame, length: int) -> DataFrame:
             at_row = pa.array(rows)
             yield pa.RecordBatch.from_arrays([pa.array(names[0].view(np.int64)), pa.array((names[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(at_row), batch.column(1).take(at_row), pa.array(begin), pa.array(stop)], ["x", "y", "doc_id", "text_key", "start", "stop"])
 
-    return met.select("doc_id", "text_key", "text", "places").mapInArrow(run, "x long, y int, doc_id long, text_key long, start long, stop long")
+    return met.select("doc_id", "text_key", "text", "places").mapInArrow(lean(run), "x long, y int, doc_id long, text_key long, start long, stop long")
 
 
 def later_windows(windows: DataFrame, length: int) -> DataFrame:
@@ -125,7 +125,7 @@ def later_windows(windows: DataFrame, length: int) -> DataFrame:
             rows = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array(start[keep]), pa.array(np.where(stop[keep] > 0, stop[keep], start[keep] + length))], ["doc_id", "text_key", "start", "stop"])
 
-    return windows.mapInArrow(run, "doc_id long, text_key long, start long, stop long")
+    return windows.mapInArrow(lean(run), "doc_id long, text_key long, start long, stop long")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame, int]:
@@ -164,7 +164,7 @@ def dedupe(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
                 n.append(len(words)), gone.append(len(words) - len(left)), sha.append(hashlib.sha256(whole).hexdigest()), kept.append(whole.decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return with_lists(texts, runs, "left", size).select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return with_lists(texts, runs, "left", size).select("doc_id", "text", "runs").mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], length: int = LENGTH) -> list[tuple]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import AnchorFn, anchors_of, keyed, merged, mix64, pack_range, repeated_anchors, runs_per_document, unpack, with_lists
-from .common import staged, tasks
+from .common import lean, staged, tasks
 
 LENGTH = 400
 #: Windows of this many k-grams share an anchor at most.
@@ -179,7 +179,7 @@ def contexts_of(met: DataFrame, length: int) -> DataFrame:
                 ["doc_id", "text_key", "first", "n", "a", "b", "back", "context"],
             )
 
-    return met.select("doc_id", "text_key", "text", "places").mapInArrow(run, "doc_id long, text_key long, first long, n int, a long, b long, back int, context binary")
+    return met.select("doc_id", "text_key", "text", "places").mapInArrow(lean(run), "doc_id long, text_key long, first long, n int, a long, b long, back int, context binary")
 
 
 def sampled_splitters(contexts: DataFrame, buckets: int, rows: int, lead: int) -> list[bytes]:
@@ -212,7 +212,7 @@ def repeated_in_contexts(shown: DataFrame, length: int, width: int) -> DataFrame
                 bucket.append(-1 if c[o : o + lead] in straddling else bisect_right(marks, c[o : o + length]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket, pa.int32())], [*batch.schema.names, "bucket"])
 
-    placed = staged(shown.select("a", "b", "context", "back", "n").mapInArrow(place, "a long, b long, context binary, back int, n int, bucket int"), "placed")
+    placed = staged(shown.select("a", "b", "context", "back", "n").mapInArrow(lean(place), "a long, b long, context binary, back int, n int, bucket int"), "placed")
 
     def sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -231,7 +231,7 @@ def repeated_in_contexts(shown: DataFrame, length: int, width: int) -> DataFrame
         hit = [(rows["a"][i], rows["b"][i], spans_of(m)) for i, m in zip(keep, found) if m.any()]
         yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hit], pa.int64()), pa.array([h[1] for h in hit], pa.int64()), pa.array([h[2] for h in hit], pa.list_(pa.int64()))], ["a", "b", "spans"])
 
-    inside = placed.where("bucket >= 0").repartitionById(len(splitters) + 1, F.col("bucket")).select("a", "b", "context", "back", "n").mapInArrow(sort_bucket, "a long, b long, spans array<long>")
+    inside = placed.where("bucket >= 0").repartitionById(len(splitters) + 1, F.col("bucket")).select("a", "b", "context", "back", "n").mapInArrow(lean(sort_bucket), "a long, b long, spans array<long>")
 
     straddling = placed.where("bucket < 0").select("a", "b", "context", "back", "n")
     return inside.unionByName(repeated_across(straddling, length, width))
@@ -275,10 +275,10 @@ def repeated_across(contexts: DataFrame, length: int, width: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["a", "b", "at", "x", "y"])
 
-    block_rows = contexts.mapInArrow(cores, "a long, b long, block int, h long")
+    block_rows = contexts.mapInArrow(lean(cores), "a long, b long, block int, h long")
     shared = block_rows.groupBy("h", "block").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("h", "block")
     open_blocks = staged(block_rows.join(shared, ["h", "block"]).select("a", "b", "block"), "blocks").groupBy("a", "b").agg(F.collect_set("block").alias("blocks"))
-    named = staged(contexts.join(open_blocks, ["a", "b"]).select("a", "b", "context", "back", "n", "blocks").mapInArrow(windows, "a long, b long, at array<long>, x long, y long"), "names")
+    named = staged(contexts.join(open_blocks, ["a", "b"]).select("a", "b", "context", "back", "n", "blocks").mapInArrow(lean(windows), "a long, b long, at array<long>, x long, y long"), "names")
     # a name that one batch has met twice goes on under one context, and matches the others' batches too
     single = named.where("x <> 0 OR y <> 0")
     twice = single.groupBy("x", "y").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("x", "y")
@@ -327,7 +327,7 @@ def dedupe(docs: DataFrame, length: int = LENGTH, width: int | None = None) -> D
                 n.append(len(raw)), gone.append(len(raw) - len(left)), spans.append(len(cuts)), sha.append(hashlib.sha256(left).hexdigest()), kept.append(left)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return with_lists(texts, runs, "left", size).select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return with_lists(texts, runs, "left", size).select("doc_id", "text", "runs").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], length: int = LENGTH) -> list[tuple]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, tasks
+from .common import lean, staged, tasks
 
 MAGIC = b"PMD1"
 RANK_STEP = 512
@@ -241,7 +241,7 @@ def write_codes(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = slim.repartitionByRange(tasks(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return staged(ordered.mapInArrow(run, "part int, seq int, n_ids long, doc_ids array<long>, segment binary"), "codes")
+    return staged(ordered.mapInArrow(lean(run), "part int, seq int, n_ids long, doc_ids array<long>, segment binary"), "codes")
 
 
 def read_codes(segments: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def read_codes(segments: DataFrame) -> DataFrame:
                     {"part": pa.array([part.as_py()] * n, pa.int32()), "seq": pa.array([seq.as_py()] * n, pa.int32()), "doc_id": pa.array(keys, pa.int64()), "at": bounds[:-1], "n_tokens": np.diff(bounds), "ids_crc32": pa.array(crc, pa.int64())}
                 )
 
-    read = segments.select("part", "seq", "doc_ids", "segment").mapInArrow(run, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    read = segments.select("part", "seq", "doc_ids", "segment").mapInArrow(lean(run), "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return read.join(offsets, ["part", "seq"]).select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
