@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from pagemill.llm import anchors, chat_format, components, decontaminate, fingerprint, html_extract, mixing, quality, queries, simhash, substring_dedup, suffix_dedup, token_codes  # noqa: E402
+from pagemill.llm import anchors, chat_format, components, decontaminate, fingerprint, mixing, quality, queries, simhash, substring_dedup, suffix_dedup, token_codes  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -271,36 +271,6 @@ def test_decontamination_edges(spark, weird, empty):
     assert decontaminate.decontaminate(weird, items.limit(0)).where("contaminated").count() == 0
 
 
-# ---------------------------------------------------------------- 8
-
-
-def page(article, nav="n"):
-    return f"<html><head><title>t</title><script>var a='<p>no</p>';</script></head><body><nav><a href='/'>{nav}</a></nav><article>{article}</article><footer>&copy; f</footer></body></html>"
-
-
-def test_main_text_of_pages():
-    text = html_extract.main_text
-    assert text(page("<h1>A &amp; B</h1><p>one <b>two</b>\n three<br>four<p>five")) == "A & B\n\none two three four\n\nfive"
-    assert text("<div class='ad'>x<div><main><p>kept</main></div><div id='comments'><article>no</article></div>") == "kept"
-    assert text(page("<p>a</p><aside>no</aside><form>no</form><!-- no --><style>no</style><div class='cookie-notice'>no</div><ul><li>b<li>c</ul>")) == "a\n\nb\n\nc"
-    assert text("<p>only text") == "only text" and text(None) == "" and text("") == ""
-
-
-def test_template_of_a_host(spark):
-    rows = [(i, f"https://h.example/{i}", page(f"<p>Subscribe to our letter</p><p>own text number {i} with words enough</p>", nav="home")) for i in range(12)]
-    rows += [(100, "https://small.example/1", page("<p>Subscribe to our letter</p><p>x</p>")), (101, None, None), (102, None, "")]
-    got = {r["page_id"]: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3]["text"] == "own text number 3 with words enough" and got[3]["n_chars"] == len(got[3]["text"])
-    assert got[100]["text"] == "Subscribe to our letter\n\nx" and got[101]["text"] == got[102]["text"] == "" and len(got) == 15
-
-
-def test_copies_are_no_template(spark):
-    rows = [(i, f"https://h.example/{i}", page("<p>the same article on every page</p>", nav=f"n{i}")) for i in range(12)]
-    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r["text"] for r in got} == {"the same article on every page"}
-    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
 # ---------------------------------------------------------------- 9
 
 
