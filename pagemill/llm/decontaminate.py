@@ -1,14 +1,14 @@
 """Benchmark decontamination by a prefix-filtered set join (DataFrame functions only).
 
 A window is 10 consecutive words of an item (the whole item if it is shorter), seen as a set of 3-word
-shingles.  Shingles are ordered by rarity in the corpus.  A document holds a window only if it holds all
-of its shingles, so the necessary prefix is the rarest one: only documents with that shingle become
-candidates, a window with a shingle that the corpus lacks is dropped at once.  Where the shingle stands
-fixes where the window would start (positional bound) and end (length bound); survivors are verified
-word by word.
-
-The corpus is read once for the shingles of the benchmark (joined in place, so nothing but matches is
-ever shuffled) and once for the candidates' texts.
+shingles.  A first pass over the corpus counts the shingles of the benchmark, in partial sums only, which
+orders them by rarity.  A document holds a window only if it holds all of its shingles, so the necessary
+prefix is the rarest one: the second pass joins the corpus with these alone, and a window with a shingle
+that the corpus lacks is dropped at once.  Where the shingle stands fixes where the window would start
+(positional bound) and end (length bound); survivors are verified word by word.
+
+Nothing but matches of prefixes is ever shuffled, and texts move only for documents with a candidate.  A
+window is named by its MD5 digest; the items that share it stay in a table of their own until the end.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from .common import ascii_lower, staged
 
 WINDOW = 10
 SHINGLE = 3
-#: Benchmark shingles are sent to all executors up to this many rows (under 100 MB); beyond, both sides are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Tables about the benchmark, and names of documents, are sent to all executors up to this many bytes; beyond,
+#: both sides are shuffled.
+BROADCAST_BYTES = 48 << 20
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -43,47 +43,71 @@ def shingles_of(words: Column, size: int) -> Column:
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(window, length, item_ids): every distinct window as its words joined by spaces."""
-    w = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), words_of(F.col("text")).alias("ws")).where(F.size("ws") > 0)
+    """(w, window, length, item_id): the windows of every item as words joined by spaces, each item's once."""
+    ws = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), words_of(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     length = F.least(F.size("ws"), F.lit(window))
-    each = w.select("item_id", length.alias("length"), "ws", F.explode(F.sequence(F.lit(1), F.size("ws") - length + 1)).alias("p"))
-    return each.select("item_id", "length", F.concat_ws(" ", F.slice("ws", F.col("p"), F.col("length"))).alias("window")).groupBy("window", "length").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    each = ws.select("item_id", length.alias("length"), "ws", F.explode(F.sequence(F.lit(1), F.size("ws") - length + 1)).alias("p"))
+    return each.select("item_id", "length", F.concat_ws(" ", F.slice("ws", F.col("p"), F.col("length"))).alias("window")).select(F.md5("window").alias("w"), "window", "length", "item_id").distinct()
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` (doc_id, text), ``items`` (item_id, text) -> doc_id, text_key, found, for documents with a hit.
+def sent(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """``df``, marked for sending to all executors where it is small by the given size of its rows."""
+    size = df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
-    ``found`` holds (start, length, item_ids) of every occurrence of a window, by start.
-    """
-    windows = staged(item_windows(items, window), "windows")
+
+def positions(docs: DataFrame, sizes: list[int]) -> list[DataFrame]:
+    """For each size (doc_id, text_key, n_words, at, h, size): the shingles of every text."""
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("ws"))
+    return [keyed.select("doc_id", "text_key", F.size("ws").alias("n_words"), F.posexplode(shingles_of(F.col("ws"), k)).alias("at", "h"), F.lit(k).alias("size")) for k in sizes]
+
+
+def prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """Distinct (w, window, length) -> (w, window, length, size, h, offset): the rarest shingle of each, if the corpus has all."""
     size = F.least(F.col("length"), F.lit(SHINGLE))
-    parts = windows.select("window", "length", size.alias("size"), F.split("window", " ").alias("ws"))
-    by_size = [parts.where(F.col("size") == k).select("window", "length", "size", F.posexplode(shingles_of(F.col("ws"), k)).alias("offset", "h")) for k in range(1, SHINGLE + 1)]
+    parts = windows.select("w", "window", "length", size.alias("size"), F.split("window", " ").alias("ws"))
+    by_size = [parts.where(F.col("size") == k).select("w", "window", "length", "size", F.posexplode(shingles_of(F.col("ws"), k)).alias("offset", "h")) for k in range(1, SHINGLE + 1)]
     shingles = staged(by_size[0].union(by_size[1]).union(by_size[2]), "shingles")
-    sizes = [r["size"] for r in shingles.select("size").distinct().orderBy("size").collect()]
-    small = shingles.count() <= BROADCAST_ROWS
-    send = F.broadcast if small else (lambda df: df)
+    sizes = [r["size"] for r in shingles.select("size").distinct().orderBy("size").collect()]  # at most SHINGLE rows
     known = shingles.select("h", "size").distinct()
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("ws"))
-    found = None
-    for k in sizes:
-        part = keyed.select("doc_id", "text_key", F.size("ws").alias("n_words"), F.posexplode(shingles_of(F.col("ws"), k)).alias("at", "h"))
-        part = part.join(send(known.where(F.col("size") == k).select("h")), "h").withColumn("size", F.lit(k))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = docs.select("doc_id", F.lit(0).cast("long").alias("text_key"), F.lit(0).alias("n_words"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("size")).where(F.lit(False))
-    found = staged(found.select("doc_id", "text_key", "n_words", "at", "h", "size"), "matched")
-    counts = found.groupBy("h", "size").agg(F.count("*").alias("n"))
-    rare = shingles.join(counts, ["h", "size"], "left").groupBy("window", "length", "size").agg(F.min_by(F.struct("h", "offset"), F.struct("n", "offset")).alias("p"), F.min(F.col("n").isNotNull()).alias("all_known"))
-    prefix = rare.where("all_known").select("window", "length", "size", F.col("p.h").alias("h"), F.col("p.offset").alias("offset")).join(windows.select("window", "item_ids"), "window")
+    counts = shingles.select("h", "size", F.lit(0).cast("long").alias("n")).where(F.lit(False))
+    for k, part in zip(sizes, positions(docs, sizes)):
+        own = sent(known.where(F.col("size") == k).select("h"), F.lit(24))
+        counts = counts.unionByName(part.select("h", "size").join(own, "h").groupBy("h", "size").agg(F.count("*").alias("n")))
+    found = staged(counts, "counts")
+    rare = shingles.join(found, ["h", "size"], "left").groupBy("w", "window", "length", "size").agg(F.min_by(F.struct("h", "offset"), F.struct("n", "offset")).alias("p"), F.min(F.col("n").isNotNull()).alias("all_known"))
+    return staged(rare.where("all_known").select("w", "window", "length", "size", F.col("p.h").alias("h"), F.col("p.offset").alias("offset")), "prefixes")
+
+
+def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (doc_id, text), ``items`` (item_id, text) -> two tables.
+
+    (doc_id, text_key, found) for documents with a hit, ``found`` holding (start, length, w) of every
+    occurrence of a window, by start; and (w, window, length, item_id).
+    """
+    every = staged(item_windows(items, window), "windows")
+    prefix = prefixes(docs, every.select("w", "window", "length").distinct())
+    sizes = [r["size"] for r in prefix.select("size").distinct().orderBy("size").collect()]  # at most SHINGLE rows
     start = F.col("at") - F.col("offset")
-    candidates = found.join(send(prefix), ["h", "size"]).where((start >= 0) & (start + F.col("length") <= F.col("n_words")))
-    per_doc = candidates.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(start.alias("start"), "length", "window", "item_ids")).alias("candidates"))
+    nothing = docs.select("doc_id", F.lit(0).cast("long").alias("text_key"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit("").alias("w"), F.lit("").alias("window")).where(F.lit(False))
+    candidates = nothing
+    for k, part in zip(sizes, positions(docs, sizes)):
+        own = sent(prefix.where(F.col("size") == k).drop("size"), F.length("window") + 80)
+        met = part.join(own, "h").where((start >= 0) & (start + F.col("length") <= F.col("n_words")))
+        candidates = candidates.unionByName(met.select("doc_id", "text_key", start.alias("start"), "length", "w", "window"))
+    per_doc = staged(candidates.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "length", "w", "window")).alias("candidates")), "candidates")
+    names = sent(per_doc.select(F.col("doc_id").alias("n_doc"), F.col("text_key").alias("n_key")), F.lit(24))
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("k"), "text")
+    texts = texts.join(names, F.col("d").eqNullSafe(F.col("n_doc")) & (F.col("k") == F.col("n_key")), "left_semi")
     both = per_doc.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
     verified = bound(words_of(F.col("text")), lambda ws: F.filter("candidates", lambda c: F.concat_ws(" ", F.slice(ws, c["start"] + 1, c["length"])) == c["window"]))
-    found = F.transform(F.array_sort(verified), lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length"), c["item_ids"].alias("item_ids")))
-    return both.select("doc_id", "text_key", found.alias("found")).where(F.size("found") > 0).dropDuplicates(["doc_id", "text_key"])
+    found = F.transform(F.array_sort(verified), lambda c: F.struct(c["start"].alias("start"), c["length"].alias("length"), c["w"].alias("w")))
+    return both.select("doc_id", "text_key", found.alias("found")).where(F.size("found") > 0).dropDuplicates(["doc_id", "text_key"]), every
+
+
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, text_key) of the documents that hold a window."""
+    return occurrences(docs, items, window)[0].select("doc_id", "text_key")
 
 
 def covered(found: Column) -> Column:
@@ -98,23 +122,30 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     items_sha256, contaminated, one row per input row.
 
     Null and empty texts have no words and no hits; items without words have no windows; repeated items
-    count once and a null item_id reads "null"; rows that repeat a document each get its result; an empty
-    table of either kind gives no hits; other columns are ignored.
+    count once and a null item_id reads "null"; rows that repeat a document each get its result; texts of any
+    length are read whole; an empty table of either kind gives no hits; other columns are ignored.
     """
-    found = hits(docs, items, window).select(F.col("doc_id").alias("d"), "text_key", "found")
-    n_words = F.coalesce(F.regexp_count("text", F.lit(ANY_CASE)), F.lit(0)).cast("long")
-    base = docs.select("doc_id", F.xxhash64("text").alias("k"), n_words.alias("n_words"))
-    joined = base.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k") == F.col("text_key")), "left")
-    ids = F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda f: f["item_ids"])))), F.array().cast("array<string>"))
-    n_hit = F.coalesce(covered(F.col("found")), F.lit(0)).cast("long")
-    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    found, windows = occurrences(docs, items, window)
+    found = staged(found, "found")
+    # which items: a document's distinct windows, each with its items, each item once
+    distinct = found.select("doc_id", "text_key", F.explode(F.array_distinct(F.transform("found", lambda f: f["w"]))).alias("w"))
+    named = distinct.join(sent(windows.select("w", "item_id"), F.length("item_id") + 48), "w").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    named = named.select(F.col("doc_id").alias("i_doc"), F.col("text_key").alias("i_key"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("sha"))
+    hit = found.select("doc_id", "text_key", covered(F.col("found")).cast("long").alias("n_hit"))
+    hit = hit.join(named, hit["doc_id"].eqNullSafe(named["i_doc"]) & (hit["text_key"] == named["i_key"])).select(F.col("doc_id").alias("d"), "text_key", "n_hit", "n_items", "sha")
+    base = docs.select("doc_id", F.xxhash64("text").alias("k"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    joined = base.join(hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k") == F.col("text_key")), "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def without(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` without the rows (doc_id, text_key) of ``found``: in place when those are few, else shuffled."""
-    names = found.select(F.col("doc_id").alias("g_doc"), F.col("text_key").alias("g_key"))
-    send = F.broadcast if found.count() <= BROADCAST_ROWS else (lambda df: df)
-    return docs.join(send(names), docs["doc_id"].eqNullSafe(names["g_doc"]) & (F.xxhash64(docs["text"]) == names["g_key"]), "left_anti")
+    """``docs`` without the rows (doc_id, text_key) of ``found``: in place when those are few, else shuffled.
+
+    A null text or doc_id is compared like any other value; other columns may have any name.
+    """
+    names = sent(found.select(F.col("doc_id").alias("g_doc"), F.col("text_key").alias("g_key")), F.lit(24))
+    return docs.join(names, docs["doc_id"].eqNullSafe(names["g_doc"]) & (F.xxhash64(docs["text"]) == names["g_key"]), "left_anti")
 
 
 ORACLE = r"""

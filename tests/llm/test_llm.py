@@ -405,3 +405,20 @@ def test_repeats_with_shuffled_lists(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == sorted(substring_dedup.brute_force(rows), key=repr)
     got = suffix_dedup.dedupe(df, length=24).drop("kept").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(suffix_dedup.brute_force(rows, 24), key=repr)
+
+
+def test_decontamination_with_shuffled_tables(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(tuple, decontaminate.decontaminate(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, decontaminate.decontaminate(docs, items).collect())) == want
+
+
+def test_decontamination_of_long_texts_and_clashing_columns(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    items = spark.createDataFrame([(i, item if i < 40 else f"own item {i}", "x", 1) for i in range(50)], "item_id long, text string, w string, length int")
+    long = ("lorem ipsum " * 40_000) + item.upper()
+    docs = spark.createDataFrame([(1, long, "a", 0, "n"), (1, long, "a", 0, "n"), (None, item, "b", 1, "n")], "doc_id long, text string, w string, start int, window string")
+    got = sorted((tuple(r) for r in decontaminate.decontaminate(docs, items).collect()), key=repr)
+    ids = hashlib.sha256(",".join(sorted(str(i) for i in range(40))).encode()).hexdigest()
+    assert got == [(1, 80_011, 11, 40, ids, True)] * 2 + [(None, 11, 11, 40, ids, True)]
