@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as Java and RE2 character-class text.
 WS = r"\x20\x09-\x0D"
-#: A run of anything that is not ASCII white space.
-WORD = rf"[^{WS}]+"
 
 #: Spark's setting that removes an execution's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

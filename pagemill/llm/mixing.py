@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WS, staged
 
 RANK_BITS = 48
 STEP_BITS = 12
@@ -28,7 +28,7 @@ STEP_BITS = 12
 
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), f"[{WS}]+"), lambda w: w != "")).cast("long")
 
 
 def source_targets(sizes: DataFrame, share: float, weights: tuple[int, ...], max_copies: int) -> DataFrame:
