@@ -183,14 +183,29 @@ def contexts_of(met: DataFrame, length: int) -> DataFrame:
 
 
 def sampled_splitters(contexts: DataFrame, buckets: int, rows: int, lead: int) -> list[bytes]:
-    """``buckets`` - 1 splitters from a sample of bounded size of the suffixes' leading bytes."""
+    """At most ``buckets`` - 1 splitters from a sample of the suffixes' leading bytes.
+
+    The sample is sorted by Spark; only every so many-th of it, one splitter a bucket, reaches the driver.
+    """
     if buckets < 2:
         return []
     share = min(1.0, buckets * SAMPLES_A_BUCKET / max(1, rows))
     suffix = F.substring(F.col("context"), F.col("back") + 1, F.lit(2 * lead))
     picked = contexts.where((F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 20) - 1)) <= int(share * (1 << 20)))).select(suffix.alias("s"))
-    sample = sorted(bytes(r["s"]) for r in picked.toLocalIterator())
-    return sorted({sample[i * len(sample) // buckets] for i in range(1, buckets)}) if sample else []
+    ordered = picked.repartitionByRange(tasks(contexts.sparkSession), "s").sortWithinPartitions("s")
+    index = F.monotonically_increasing_id()
+    ranked = staged(ordered.select("s", F.shiftright(index, 33).alias("part"), index.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "sample")
+    sizes = {r["part"]: r["n"] for r in ranked.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a partition
+    before, total = {}, 0
+    for part in sorted(sizes):
+        before[part], total = total, total + sizes[part]
+    if not total:
+        return []
+    wanted = [i * total // buckets for i in range(1, buckets)]
+    at = [max((p for p in before if before[p] <= w), key=lambda p: before[p]) for w in wanted]
+    named = contexts.sparkSession.createDataFrame([(p, w - before[p]) for p, w in zip(at, wanted)], "part long, place long").distinct()
+    found = ranked.join(F.broadcast(named), ["part", "place"])  # one row a bucket
+    return sorted({bytes(r["s"]) for r in found.select("s").collect()})
 
 
 def repeated_in_contexts(shown: DataFrame, length: int, width: int) -> DataFrame:
@@ -201,10 +216,11 @@ def repeated_in_contexts(shown: DataFrame, length: int, width: int) -> DataFrame
     rows, size = total["n"], int(total["bytes"] or 0)
     buckets = max(tasks(spark), size // BUCKET_BYTES + 1)
     splitters = sampled_splitters(shown, buckets, rows, lead)
-    sent = spark.sparkContext.broadcast((splitters, {s[:lead] for s in splitters}))
+    sent = spark.sparkContext.broadcast(splitters)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, straddling = sent.value
+        marks = sent.value
+        straddling = {s[:lead] for s in marks}
         for batch in batches:
             bucket = []
             for context, back in zip(batch.column(2), batch.column(3)):
