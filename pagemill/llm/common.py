@@ -18,6 +18,9 @@ WS = r"\x20\x09-\x0D"
 
 #: Spark's setting that removes an execution's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's bound on the bytes of a batch sent to a Python worker; an executor holds several batches a task.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 16 << 20
 
 _own_dir: list[str] = []
 _written: dict[str, SparkSession] = {}
@@ -44,12 +47,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagemill-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true", BATCH: str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    known = [k for k, v in before.items() if v is not None]
+    for k in known:
+        spark.conf.set(k, wanted[k])
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k in known:
+            spark.conf.set(k, before[k])
     _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 

@@ -195,13 +195,13 @@ def plausible(p: np.ndarray, q: np.ndarray, size: np.ndarray, sketch: np.ndarray
 def close_pairs(node: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All plausible pairs with different roots."""
     k = len(node)
-    step = max(1, (1 << 21) // k)
+    step = max(1, (1 << 18) // k)
     for at in range(0, k, step):
         x = slice(at, min(k, at + step))
         fits = (root[x, None] != root[None, :]) & (np.minimum(size[x, None], size[None, :]) + 1e-9 >= similarity * np.maximum(size[x, None], size[None, :]))
         i, j = np.nonzero(fits & (np.arange(k)[None, :] > np.arange(at, x.stop)[:, None]))
-        for part in range(0, len(i), 1 << 16):
-            p, q = i[part : part + (1 << 16)] + at, j[part : part + (1 << 16)]
+        for part in range(0, len(i), 1 << 14):
+            p, q = i[part : part + (1 << 14)] + at, j[part : part + (1 << 14)]
             near = plausible(p, q, size, sketch, similarity)
             a, b = node[p[near]], node[q[near]]
             yield np.maximum(a, b), np.minimum(a, b)
