@@ -26,8 +26,10 @@ BITS = 64
 #: Bands of a text's least hashes, and least hashes in a band: two texts that are 0.8 alike share no band
 #: with probability (1 - 0.8 ** 5) ** 24, less than 1 in 10,000.
 BANDS, BAND = 24, 5
-#: Meetings of up to this many texts compare all pairs at once.
-SMALL = 16
+#: Meetings of up to this many texts compare all pairs at once; larger ones start from up to so many pivots.
+SMALL, PIVOTS = 16, 32
+#: Larger meetings are read in parts of about this many texts, and no part holds much more than this many shingles.
+PART, PART_BYTES = 4096, 2 << 20
 
 
 def simhash(text: str | None, shingle: int = 3, fold: bool = True) -> int:
@@ -166,14 +168,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each value of the first column, from batches sorted by it."""
+def meetings(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.Table]:
+    """The rows of each value of the first column, from batches sorted by it; in parts of about ``most`` rows."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         v = batch.column(0).to_numpy()
         edges = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else []
         for lo, hi in zip(edges, np.r_[edges[1:], len(v)].astype(int)):
-            if held and held[0].column(0)[0].as_py() != v[lo]:
+            if held and (held[0].column(0)[0].as_py() != v[lo] or (most and sum(b.num_rows for b in held) >= most)):
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(lo, hi - lo))
@@ -192,85 +194,164 @@ def plausible(p: np.ndarray, q: np.ndarray, size: np.ndarray, sketch: np.ndarray
     return fits & ((sketch[p] == sketch[q]).sum(1) >= least)
 
 
-def close_pairs(node: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All plausible pairs with different roots."""
-    k = len(node)
-    step = max(1, (1 << 18) // k)
-    for at in range(0, k, step):
-        x = slice(at, min(k, at + step))
-        fits = (root[x, None] != root[None, :]) & (np.minimum(size[x, None], size[None, :]) + 1e-9 >= similarity * np.maximum(size[x, None], size[None, :]))
-        i, j = np.nonzero(fits & (np.arange(k)[None, :] > np.arange(at, x.stop)[:, None]))
-        for part in range(0, len(i), 1 << 14):
-            p, q = i[part : part + (1 << 14)] + at, j[part : part + (1 << 14)]
-            near = plausible(p, q, size, sketch, similarity)
-            a, b = node[p[near]], node[q[near]]
-            yield np.maximum(a, b), np.minimum(a, b)
-
-
-def meeting_pairs(every: bool, similarity: float):
-    """A mapInArrow function over sorted (variant, node, root, size, sketch) that yields pairs (a, b).
+def pivot_pairs(sketch: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a meeting that join most of what is alike: each row with its two nearest pivots, and all pivots.
 
-    With ``every`` all pairs of a meeting with different roots; else those of small meetings only, and in
-    a larger one each member with the one nearest to all, with the first and with the one before it, where
-    the two can be that alike.
+    The first pivot is the row nearest to all; the next ones are nearest to what is not clearly like a pivot yet.
+    """
+    k, n = sketch.shape
+    left, pivots, alike = np.arange(k), [], []
+    while len(left) and len(pivots) < PIVOTS:
+        common = np.array([np.bincount(c, minlength=256).argmax() for c in sketch[left].T], np.uint8)
+        pivots.append(left[(sketch[left] == common).sum(1).argmax()])
+        alike.append((sketch == sketch[pivots[-1]]).sum(1).astype(np.int16))
+        left = left[alike[-1][left] < n * min(1.0, similarity + 0.05)]
+    order = np.argsort(-np.stack(alike), axis=0, kind="stable")
+    every, at = np.arange(k), np.array(pivots)
+    for nth in order[:2]:
+        other = at[nth]
+        yield every[every != other], other[every != other]
+    i, j = np.triu_indices(len(at), 1)
+    if len(i):
+        yield at[i], at[j]
+
+
+def meeting_pairs(similarity: float):
+    """A mapInArrow function over sorted (variant, node, size, sketch) that yields plausible pairs (a, b).
+
+    All pairs of small meetings; of larger ones, which are read in parts, those of ``pivot_pairs``.
     """
 
     def pairs_of(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        node, root, size = (t.column(c).to_numpy() for c in ("node", "root", "size"))
+        node, size = (t.column(c).to_numpy() for c in ("node", "size"))
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-        if every or len(node) <= SMALL:
-            yield from close_pairs(node, root, size, sketch, similarity)
-            return
-        common = np.array([np.bincount(c, minlength=256).argmax() for c in sketch.T], np.uint8)
-        every_row = np.arange(len(node))
-        centre = (sketch == common).sum(1).argmax()
-        for other in (np.full(len(node), centre), np.zeros(len(node), np.int64), np.maximum(every_row - 1, 0)):
-            near = (every_row != other) & plausible(every_row, other, size, sketch, similarity)
-            x, y = node[near], node[other[near]]
+        for p, q in [np.triu_indices(len(node), 1)] if len(node) <= SMALL else pivot_pairs(sketch, similarity):
+            near = plausible(p, q, size, sketch, similarity)
+            x, y = node[p[near]], node[q[near]]
             yield np.maximum(x, y), np.minimum(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for t in meetings(batches):
+        rows = 0
+        for t in meetings(batches, PART):
             for pair in pairs_of(t) if t.num_rows > 1 else ():
                 held.append(pair)
-                if sum(len(a) for a, _ in held[-64:]) > 1 << 14 or len(held) > 4096:
+                rows += len(pair[0])
+                if rows > 1 << 15 or len(held) > 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["a", "b"])
-                    held = []
+                    held, rows = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["a", "b"])
 
     return run
 
 
+def tile_links(similarity: float):
+    """A mapInArrow function over sorted (tile, band, left, right, node, root, main, size, sketch, keys, shingles) that yields links (a, b).
+
+    In a tile every left text is compared with every right one of another component; the most alike first, and
+    none of a component that it has just been linked to.  Two texts that share several bands are compared in
+    the first of them, two stragglers from the side of the greater one.
+    """
+
+    def links_of(t: pa.Table) -> Iterator[tuple[int, int]]:
+        left, right, main = (t.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right", "main"))
+        node, root, size, band = (t.column(c).to_numpy() for c in ("node", "root", "size", "band"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), "<i8").reshape(len(node), -1)
+        sets, linked = t.column("shingles"), set()
+        others = np.flatnonzero(right)
+        for i in np.flatnonzero(left).tolist():
+            j = others[(root[others] != root[i]) & (main[others] | (node[others] < node[i]))]
+            j = j[plausible(np.full(len(j), i), j, size, sketch, similarity)]
+            j = j[~(keys[j, : band[i]] == keys[i, : band[i]]).any(1)] if band[i] else j
+            if not len(j):
+                continue
+            x = np.frombuffer(sets[i].as_py(), "<u8")
+            for k in j[np.argsort(-(sketch[j] == sketch[i]).sum(1), kind="stable")].tolist():
+                pair = (root[i], root[k])
+                if pair not in linked and alike(x, np.frombuffer(sets[k].as_py(), "<u8"), similarity):
+                    linked |= {pair, pair[::-1]}
+                    yield node[i], node[k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in meetings(batches):
+            found = list(links_of(t))
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets are that alike by Jaccard."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common + 1e-9 >= similarity * (len(x) + len(y) - common)
+
+
+def sets_of(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, shingles) of the distinct ``nodes``."""
+    needed = staged(nodes.distinct(), "needed")
+    few = needed.count() * 16 <= BROADCAST_BYTES
+    return staged(rows.select("node", "shingles").join(F.broadcast(needed) if few else needed, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
 def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) of nodes whose sets of shingles (node, shingles in ``rows``) are that alike by Jaccard."""
-    needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
-    few = needed.count() * 16 <= BROADCAST_BYTES
-    sets = staged(rows.select("node", "shingles").join(F.broadcast(needed) if few else needed, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), rows)
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias("set_" + name))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common + 1e-9 >= similarity * (len(x) + len(y) - common))
+            keep = [alike(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), similarity) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
     return both.mapInArrow(lean(check), "a long, b long")
 
 
+def crossing_links(named: DataFrame, mixed: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Links between components inside the larger meetings of several, all pairs compared -> (a, b).
+
+    Most of such a meeting is one component, its main one; the others are stragglers.  The meeting's texts are cut
+    into ``blocks``, and a tile is a block of stragglers against a block of all, with their sets: so a task
+    holds two blocks, however large the meeting, and what leaves it are links, not pairs.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys = [np.frombuffer(k.as_py(), "<i8") for k in batch.column(0)]
+            at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            band = np.concatenate([*(np.arange(len(k)) for k in keys), np.zeros(0, np.int64)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(band), *(c.take(at) for c in batch.columns[1:])], ["variant", "band", *batch.schema.names[1:]])
+
+    few = mixed.count() * 32 <= BROADCAST_BYTES
+    slim = named.select("keys", "node", "root").mapInArrow(lean(emit), "variant long, band int, node long, root long")
+    members = staged(slim.join(F.broadcast(mixed) if few else mixed, "variant"), "members")
+    main = members.groupBy("variant", "root").count().groupBy("variant").agg(F.max_by("root", F.struct("count", "root")).alias("m_root")).withColumnRenamed("variant", "m_variant")
+    placed = members.join(F.broadcast(main) if few else main, F.col("variant") == F.col("m_variant")).withColumn("main", F.col("root") == F.col("m_root")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    as_right = F.transform(every, lambda r: F.struct(r.alias("r"), F.col("own").alias("c")))
+    as_left = F.transform(every, lambda c: F.struct(F.col("own").alias("r"), c.alias("c")))
+    tiled = placed.withColumn("t", F.explode(F.when(F.col("main"), as_right).otherwise(F.array_union(as_right, as_left))))
+    left = ~F.col("main") & (F.col("t.r") == F.col("own"))
+    tiled = tiled.select(F.xxhash64("variant", "t.r", "t.c").alias("tile"), "band", left.alias("left"), (F.col("t.c") == F.col("own")).alias("right"), "node", "root", "main")
+    sets = sets_of(members.select("node"), rows)
+    both = tiled.join(named.select("node", "size", "sketch", "keys"), "node").join(sets, "node").select("tile", "band", "left", "right", "node", "root", "main", "size", "sketch", "keys", "shingles")
+    dealt = both.repartition(tasks(named.sparkSession), "tile").sortWithinPartitions("tile", "node")
+    return dealt.mapInArrow(lean(tile_links(similarity)), "a long, b long").distinct()
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, text_key, keeper: the least (doc_id, text_key) of each row's group.
 
     Every text emits the keys of its bands.  Small meetings compare all pairs; larger ones first link
     their members to a few of them, and then compare all pairs that these links have not joined into one
-    component, which need no link any more.  A link stands if the Jaccard similarity of the sets of shingles
-    is ``similarity`` or more.  Texts with one set of shingles collapse first.  Null and empty texts are
-    one group.
+    component, which need no link any more (``crossing_links``).  A link stands if the Jaccard similarity of
+    the sets of shingles is ``similarity`` or more.  Texts with one set of shingles collapse first, so repeated
+    rows and copies cost nothing.  Null and empty texts are one group; texts of any length are read whole; an
+    empty table gives an empty result; other columns are ignored.
     """
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,32 +370,29 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
             at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), *(c.take(at) for c in batch.columns[1:])], ["variant", *batch.schema.names[1:]])
 
-    def met(given: DataFrame, every: bool) -> DataFrame:
-        dealt = given.repartition(tasks(docs.sparkSession), "variant").sortWithinPartitions("variant", "node")
-        return dealt.mapInArrow(lean(meeting_pairs(every, similarity)), "a long, b long").distinct()
-
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     schema = "doc_id long, text_key long, node long, shingles binary, keys binary, sketch binary"
     rows = staged(slim.mapInArrow(lean(marks), schema), "marks")
     nodes = staged(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first(F.length("shingles")).alias("size")), "nodes")
-    own = nodes.select("keys", "node", F.col("node").alias("root"), "size", "sketch")
-    first = staged(met(own.mapInArrow(lean(emit), "variant long, node long, root long, size int, sketch binary"), False), "pairs")
+    own = nodes.select("keys", "node", "size", "sketch").mapInArrow(lean(emit), "variant long, node long, size int, sketch binary")
+    dealt = own.repartition(tasks(docs.sparkSession), "variant").sortWithinPartitions("variant", "node")
+    first = staged(dealt.mapInArrow(lean(meeting_pairs(similarity)), "a long, b long").distinct(), "pairs")
     links = staged(verified(first, rows, similarity), "verified")
     roots = staged(connected_components(links), "roots")
-    # larger meetings of more than one component: all their pairs across components
     named = nodes.join(roots, "node", "left").select("keys", "node", F.coalesce("root", "node").alias("root"), "size", "sketch")
-    slim_keys = named.select("keys", "root").mapInArrow(lean(emit), "variant long, root long")
-    mixed = staged(slim_keys.groupBy("variant").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi")).where((F.col("k") > SMALL) & (F.col("lo") < F.col("hi"))).select("variant"), "mixed")
+    slim_keys = named.select("keys", "root", "size").mapInArrow(lean(emit), "variant long, root long, size int")
+    kinds = slim_keys.groupBy("variant").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.col("size").cast("long")).alias("bytes"))
+    mixed = staged(kinds.where((F.col("k") > SMALL) & (F.col("lo") < F.col("hi"))).select("variant", F.ceil(F.greatest(F.col("k") / PART, F.col("bytes") / PART_BYTES)).cast("int").alias("blocks")), "mixed")
     if mixed.limit(1).count():
-        again = named.mapInArrow(lean(emit), "variant long, node long, root long, size int, sketch binary")
-        few = mixed.count() * 16 <= BROADCAST_BYTES
-        crossing = met(again.join(F.broadcast(mixed) if few else mixed, "variant", "left_semi"), True).join(first, ["a", "b"], "left_anti")
-        more = verified(staged(crossing, "pairs"), rows, similarity)
+        more = staged(crossing_links(named, mixed, rows, similarity), "crossing")
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    grouped = nodes.join(roots, "node", "left").select(F.col("node").alias("n"), "least", F.coalesce("root", "node").alias("root"))
-    keepers = grouped.groupBy("root").agg(F.min("least").alias("keeper"))
-    return rows.select("doc_id", "text_key", "node").join(grouped.join(keepers, "root").select("n", "keeper"), F.col("node") == F.col("n")).select("doc_id", "text_key", "keeper")
+    # a text without a link keeps itself; the groups of the others are sent where they are few, so a large one is not dealt to one task
+    grouped = staged(nodes.join(roots, "node", "left").select(F.col("node").alias("n"), "least", "root"), "grouped")
+    keepers = staged(grouped.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("keeper")).withColumnRenamed("root", "k_root"), "keepers")
+    few = keepers.count() * 32 <= BROADCAST_BYTES
+    kept = grouped.join(F.broadcast(keepers) if few else keepers, F.col("root") == F.col("k_root"), "left").select("n", F.coalesce("keeper", "least").alias("keeper"))
+    return rows.select("doc_id", "text_key", "node").join(kept, F.col("node") == F.col("n")).select("doc_id", "text_key", "keeper")
 
 
 def drop_similar(docs: DataFrame, **options) -> DataFrame:

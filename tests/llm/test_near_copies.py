@@ -63,3 +63,60 @@ def test_crowded_meeting_of_strangers_loses_no_pair(spark):
     assert close == {(i + 1, i) for i in range(0, len(texts), 2)}
     got = groups(spark, texts)
     assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
+def exact_groups(texts):
+    root = list(range(len(texts)))
+    sets = [shingles(t) for t in texts]
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in range(len(texts))}
+
+
+def family(seed, n):
+    """Edits of one text, near and far, and texts around a common passage."""
+    rng = random.Random(seed)
+    base, texts = words(rng, 150), []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(0, 12)):
+            w[rng.randrange(len(w))] = words(rng, 1)[0]
+        texts.append(" ".join(w if i % 3 else w[:110] + words(rng, 40)))
+    return texts
+
+
+def test_a_crowded_family_equals_brute_force(spark):
+    texts = family(7, 160)
+    assert groups(spark, texts) == exact_groups(texts)
+
+
+def test_tiles_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART", 20)
+    monkeypatch.setattr(simhash, "PART_BYTES", 4000)
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", -1)
+    texts = family(8, 120)
+    assert groups(spark, texts) == exact_groups(texts)
+
+
+def test_recall_against_exact_similarity(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()
+    texts = [r["text"] or "" for r in docs]
+    got, sets, found, total = groups(spark, texts), [shingles(t) for t in texts], 0, 0
+    by: dict = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            by.setdefault(x, []).append(i)
+    pairs = {(i, j) for ids in by.values() if len(ids) < 200 for i in ids for j in ids if i < j}
+    for i, j in pairs:
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            total, found = total + 1, found + (got[i] == got[j])
+    assert total > 20 and found >= 0.99 * total
