@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import B0, B1, SPACE, collapse, trim
+from .text import B0, B1, SPACE, bound, collapse, trim
 
 # Forms that are never translated.
 DOI = r"(?i)^(doi:?[{s}]*)?(https?:\/\/(dx\.)?doi\.org\/)?10\.\d{{4,9}}\/[^{s}]+$".format(s=SPACE)
@@ -16,9 +16,12 @@ PAGE_NUMBER = r"(?i)^(page[{s}]+)?\d{{1,4}}([{s}]+(of|\/)[{s}]+\d{{1,4}})?$".for
 VALUE_MARKS = r"[\d{s}.,;:±+\-−–—%‰()\[\]{{}}<>=≤≥*∗†‡§¶#/×x^~≈]".format(s=SPACE)
 PLACEHOLDER = r"^(?:[-–—―.…]+|NA|N\/A|n\/a|NR|ND|NS|ns|n\.s\.|NE|NC|Ref\.?|REF)$"
 NUMBER_WITH_UNIT = r"^[<>≤≥≈~]?[{s}]*[-–−+]?\d[\d.,]*(?:[{s}]*[-–−—±×x/][{s}]*\d[\d.,]*)*[{s}]*%?[{s}]*(?:\([^()]*\)|\[[^\[\]]*\])?[{s}]*[A-Za-zµμ]{{1,2}}$".format(s=SPACE)
-STATISTICS = "OR HR RR IRR AOR AHR ARR CI CRI SD SE SEM IQR N NO NOS P DF Z T F R R2 AUC ROC MD SMD RD NNT REF NA NS".split()
-STATISTICS_LOWER = "n p z t r df vs ns".split()
-STATISTICS_MIXED = "aOR aHR aRR aIRR".split()
+STATISTICS = [
+    "OR", "HR", "RR", "IRR", "AOR", "AHR", "ARR", "CI", "CRI", "SD", "SE", "SEM", "IQR", "N", "NO", "NOS", "P", "DF", "Z", "T", "F", "R", "R2",
+    "AUC", "ROC", "MD", "SMD", "RD", "NNT", "REF", "NA", "NS",
+]
+STATISTICS_LOWER = ["n", "p", "z", "t", "r", "df", "vs", "ns"]
+STATISTICS_MIXED = ["aOR", "aHR", "aRR", "aIRR"]
 MATH = r"[=+−×÷±∑∏∫√∞≈≠≤≥∂∇αβγδεθλμπσφψωΔΣΩ∈∉⊂⊃∪∩]"
 
 
@@ -27,7 +30,11 @@ def like(c: Column, pattern: str) -> Column:
 
 
 def letters(c: Column) -> Column:
-    return F.regexp_count(c, F.lit("[A-Za-z]"))
+    return F.length(F.regexp_replace(c, "[^A-Za-z]+", ""))
+
+
+def has_three_letters(c: Column) -> Column:
+    return like(c, "(?s)[A-Za-z].*?[A-Za-z].*?[A-Za-z]")
 
 
 def words(c: Column) -> Column:
@@ -54,16 +61,16 @@ def is_abbreviation_only(c: Column) -> Column:
 
 def skip_kind(c: Column) -> Column:
     """Why a text needs no translation, the first that holds; null when it does."""
-    t = trim(c)
-    return (
+    kind = lambda t: (
         F.when(F.length(t) < 2, "empty")
         .when(like(t, DOI), "doi")
         .when(like(t, URL), "url")
         .when(like(t, EMAIL), "email")
         .when(like(t, CITATION), "citation-marker")
         .when(like(t, PAGE_NUMBER), "page-number")
-        .when(letters(t) < 3, F.when(is_numeric_only(t), "NUMERIC_ONLY").otherwise("no-letters"))
+        .when(~has_three_letters(t), F.when(is_numeric_only(t), "NUMERIC_ONLY").otherwise("no-letters"))
     )
+    return bound(trim(c), kind)
 
 
 def is_untranslatable(c: Column) -> Column:
@@ -113,7 +120,7 @@ def looks_like_equation(c: Column) -> Column:
 
 
 def is_all_caps(c: Column) -> Column:
-    return (letters(c) >= 3) & ~like(c, "[a-z]")
+    return has_three_letters(c) & ~like(c, "[a-z]")
 
 
 def is_title_cased(c: Column) -> Column:

@@ -20,13 +20,15 @@ B0, B1 = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 KEPT_PREFIXES = ["well", "self", "cross", "quasi", "pseudo", "ex", "ill", "so"]
 
 # Words that do not end an English sentence.
-FUNCTION_WORDS = (
-    "of in on at to for with from by about into onto upon via per between among within without under over after before during since until"
-    " toward towards through across against versus vs than as like unlike a an the this these those its their our his her each every any"
-    " some such both either neither no and or but nor yet so because although though while whereas unless whether if when where that which"
-    " who whom whose how what why is are was were be been being has have had do does did can could may might shall should will would must"
-    " not very more most less also only even rather quite"
-).split()
+FUNCTION_WORDS = [
+    "of", "in", "on", "at", "to", "for", "with", "from", "by", "about", "into", "onto", "upon", "via", "per", "between", "among", "within", "without",
+    "under", "over", "after", "before", "during", "since", "until", "toward", "towards", "through", "across", "against", "versus", "vs", "than", "as",
+    "like", "unlike", "a", "an", "the", "this", "these", "those", "its", "their", "our", "his", "her", "each", "every", "any", "some", "such", "both",
+    "either", "neither", "no", "and", "or", "but", "nor", "yet", "so", "because", "although", "though", "while", "whereas", "unless", "whether", "if",
+    "when", "where", "that", "which", "who", "whom", "whose", "how", "what", "why", "is", "are", "was", "were", "be", "been", "being", "has", "have",
+    "had", "do", "does", "did", "can", "could", "may", "might", "shall", "should", "will", "would", "must", "not", "very", "more", "most", "less",
+    "also", "only", "even", "rather", "quite",
+]
 
 # Fixed value: abbreviations whose full stop does not end a sentence.
 ABBREVIATION_END = r"(?i)" + B0 + r"(e\.g|i\.e|et al|etc|vs|cf|viz|fig|figs|eq|eqs|no|nos|vol|pp|approx|resp|ca|ibid|op\. cit|inc|ltd|co|dr|mr|mrs|ms|prof|jr|sr|st)\.$"
@@ -104,23 +106,26 @@ def strip_markers(c: Column) -> Column:
 
 def completeness(c: Column) -> Column:
     """struct<complete, reason, strong>: whether a text ends its sentence, and why."""
-    raw, t = trim(c), strip_markers(c)
     like = lambda x, p: F.regexp_like(x, F.lit(p))
-    word = F.regexp_replace(F.lower(F.regexp_extract(t, r"([A-Za-z'’]+)$", 1)), "’", "'")
     says = lambda complete, reason, strong: F.struct(F.lit(complete).alias("complete"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"), F.lit(strong).alias("strong"))
-    return (
-        F.when(raw == "", says(True, "empty", False))
-        .when(like(raw, r"[.!?。！？]$") & ~like(raw, ABBREVIATION_END), says(True, "terminal-punctuation", False))
-        .when(t == "", says(True, "only-markers", False))
+    last_word = lambda t: F.regexp_replace(F.lower(F.regexp_extract(t, r"([A-Za-z'’]+)$", 1)), "’", "'")
+    rest = lambda word: F.when(word.isin(FUNCTION_WORDS), says(False, F.concat(F.lit("ends-with-function-word:"), word), True)).otherwise(says(False, "no-terminal-punctuation", False))
+    stripped = lambda t: (
+        F.when(t == "", says(True, "only-markers", False))
         .when(like(t, ABBREVIATION_END), says(False, "abbreviation", True))
         .when(like(t, r"[.!?。！？]$"), says(True, "terminal-punctuation", False))
         .when(like(t, r"[:;：；]$"), says(True, "colon-or-semicolon", False))
         .when(like(t, r"[,，、]$"), says(False, "trailing-comma", True))
         .when(like(t, r"[-–—]$"), says(False, "trailing-dash", True))
         .when(like(t, r"[(\[{“\"]$"), says(False, "open-bracket", True))
-        .when(word.isin(FUNCTION_WORDS), says(False, F.concat(F.lit("ends-with-function-word:"), word), True))
-        .otherwise(says(False, "no-terminal-punctuation", False))
+        .otherwise(bound(last_word(t), rest))
+    )
+    whole = lambda raw: (
+        F.when(raw == "", says(True, "empty", False))
+        .when(like(raw, r"[.!?。！？]$") & ~like(raw, ABBREVIATION_END), says(True, "terminal-punctuation", False))
+        .otherwise(bound(strip_markers(raw), stripped))
     )
+    return bound(trim(c), whole)
 
 
 def tail_context(c: Column, n: int) -> Column:
@@ -143,8 +148,8 @@ def head_context(c: Column, n: int) -> Column:
 
 def estimate_tokens(c: Column) -> Column:
     """A quarter of a token for a character, 1.2 for a CJK one, rounded up."""
-    cjk = F.regexp_count(c, F.lit(CJK))
-    return F.ceil((F.length(c) - cjk) / 4 + cjk * 1.2).cast("long")
+    cjk = F.when(F.octet_length(c) == F.length(c), 0).otherwise(F.length(c) - F.length(F.regexp_replace(c, f"{CJK}+", "")))
+    return bound(cjk, lambda n: F.ceil((F.length(c) - n) / 4 + n * 1.2).cast("long"))
 
 
 def fnv1a(c: Column) -> Column:

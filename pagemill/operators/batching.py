@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import risk, text
 from ..functions.text import B0, B1
+from .folds import fold
 
 # Limits of a request and estimates of its overhead.
 MAX_BLOCKS, MAX_CHARS = 25, 10_000
@@ -15,41 +16,37 @@ PROMPT_TOKENS, UNIT_TOKENS = 650, 12
 
 def line_blocks(docs: DataFrame) -> DataFrame:
     """(doc_id, ord, text): the non-blank lines of every document, white space normalised."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", r"\n")).alias("ord", "raw"))
-    return lines.select("doc_id", "ord", text.normalize_cache_text(F.col("raw")).alias("text")).where("text <> ''")
+    lines = F.transform(F.split("text", r"\n"), text.normalize_cache_text)
+    return docs.select("doc_id", F.posexplode(lines).alias("ord", "text")).where("text <> ''")
 
 
-def greedy_batches(blocks: DataFrame, key: str = "doc_id", max_blocks: int = MAX_BLOCKS, max_chars: int = MAX_CHARS, size: Column | None = None) -> DataFrame:
-    """``blocks`` (key, ord, ...) with ``batch``: a batch closes when the next block would break a limit.
+def assign_batches(sized: DataFrame, key: str, order: str, size: str, max_blocks: int, max_chars: int) -> DataFrame:
+    """``sized`` with ``batch``: a batch closes when the next block would break a limit."""
+    n = sized.columns.index(size)
 
-    The state is the open batch's number, count and size, folded over one document's (ord, size) pairs,
-    so texts stay out of the collected array.
-    """
-    chars = size if size is not None else F.length("text")
-    sized = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", chars.cast("long").alias("n")))).alias("bs"))
-    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("count"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<struct<ord:int,batch:int>>").alias("out"))
+    def step(state: tuple[int, int, int], row: tuple) -> tuple[tuple[int, int, int], tuple[int]]:
+        batch, count, chars = state
+        if count and (count >= max_blocks or chars + row[n] > max_chars):
+            batch, count, chars = batch + 1, 0, 0
+        return (batch, count + 1, chars + row[n]), (batch,)
 
-    def step(s: Column, b: Column) -> Column:
-        close = (s["count"] > 0) & ((s["count"] >= max_blocks) | (s["chars"] + b["n"] > max_chars))
-        batch = F.when(close, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(
-            batch.alias("batch"),
-            F.when(close, 1).otherwise(s["count"] + 1).alias("count"),
-            F.when(close, b["n"]).otherwise(s["chars"] + b["n"]).alias("chars"),
-            F.concat(s["out"], F.array(F.struct(b["ord"].cast("int").alias("ord"), batch.alias("batch")))).alias("out"),
-        )
+    return fold(sized, [key], [order], lambda: (0, 0, 0), step, "batch int")
 
-    placed = sized.select(key, F.explode(F.aggregate("bs", zero, step, lambda s: s["out"])).alias("p")).select(key, "p.ord", "p.batch")
-    return blocks.join(placed, [key, "ord"])
+
+def greedy_batches(blocks: DataFrame, key: str = "doc_id", max_blocks: int = MAX_BLOCKS, max_chars: int = MAX_CHARS, size: Column | None = None) -> DataFrame:
+    """``blocks`` (key, ord, ...) with ``batch``; only (key, ord, size) goes through the fold."""
+    chars = size if size is not None else F.length("text")
+    sized = blocks.select(key, "ord", F.coalesce(chars, F.lit(0)).cast("long").alias("n"))
+    return blocks.join(assign_batches(sized, key, "ord", "n", max_blocks, max_chars).drop("n"), [key, "ord"])
 
 
 def batch_plan(docs: DataFrame) -> DataFrame:
     """(doc_id, batch, units, chars, tokens): how each document is packed into requests, and their size."""
     from ..functions.predicates import skip_kind
 
-    blocks = line_blocks(docs)
-    kept = blocks.where(skip_kind(F.col("text")).isNull())
-    planned = greedy_batches(kept.select("doc_id", "ord", F.length("text").alias("chars"), text.estimate_tokens(F.col("text")).alias("tokens")), size=F.col("chars"))
+    kept = line_blocks(docs).where(skip_kind(F.col("text")).isNull())
+    sized = kept.select("doc_id", "ord", F.length("text").cast("long").alias("chars"), text.estimate_tokens(F.col("text")).alias("tokens"))
+    planned = assign_batches(sized, "doc_id", "ord", "chars", MAX_BLOCKS, MAX_CHARS)
     return planned.groupBy("doc_id", "batch").agg(F.count("*").alias("units"), F.sum("chars").cast("long").alias("chars"), (F.lit(PROMPT_TOKENS) + F.sum(F.col("tokens") + UNIT_TOKENS)).cast("long").alias("tokens"))
 
 
@@ -120,18 +117,19 @@ def merge_terms(terms: DataFrame) -> DataFrame:
     """``terms`` (key, ord, source, abbreviation, origin) that survive a merge, user terms first.
 
     A term goes when an earlier kept one has its source, or (automatic ones) when either of its names is
-    taken.  What is taken depends on what was kept, so this is a fold over one key's terms.
+    taken.  What is taken depends on what was kept, so this is a fold over one key's terms; its state is the
+    set of names taken.
     """
-    names = lambda t: F.array_compact(F.array(F.lower(t["source"]), F.lower(t["abbreviation"])))
-    rows = F.array_sort(F.collect_list(F.struct((F.col("origin") != "user").alias("auto"), "ord", "source", "abbreviation")))
-    zero = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast("array<int>").alias("kept"))
+    named = terms.select("*", (F.col("origin") != "user").alias("m_auto"), F.lower("source").alias("m_source"), F.lower("abbreviation").alias("m_abbreviation"))
+    auto, source, short = (named.columns.index(c) for c in ("m_auto", "m_source", "m_abbreviation"))
 
-    def step(s: Column, t: Column) -> Column:
-        clash = F.when(t["auto"], F.arrays_overlap(s["taken"], names(t))).otherwise(F.array_contains(s["taken"], F.lower(t["source"])))
-        return F.when(clash, s).otherwise(F.struct(F.concat(s["taken"], names(t)).alias("taken"), F.concat(s["kept"], F.array(t["ord"].cast("int"))).alias("kept")))
+    def step(taken: set[str], row: tuple) -> tuple[set[str], tuple[bool]]:
+        names = {n for n in (row[source], row[short]) if n is not None}
+        clash = bool(taken & names) if row[auto] else row[source] in taken
+        return (taken if clash else taken.union(names)), (not clash,)
 
-    kept = terms.groupBy("key").agg(rows.alias("ts")).select("key", F.explode(F.aggregate("ts", zero, step, lambda s: s["kept"])).alias("ord"))
-    return terms.join(kept, ["key", "ord"], "left_semi")
+    kept = fold(named, ["key"], ["m_auto", "ord", "source", "abbreviation"], set, step, "m_kept boolean")
+    return kept.where("m_kept").select(*terms.columns)
 
 
 def relevant_terms(texts: DataFrame, terms: DataFrame, limit: int = 100_000) -> DataFrame:
