@@ -100,3 +100,11 @@ def test_fitting(height, overflow):
     found = fitting.fit("some words that wrap", 60.0, height, 10.0)
     assert found.overflow == overflow and 7.0 <= found.size <= 10.0
     assert "".join(found.lines).replace(" ", "") == "somewordsthatwrap"
+
+
+def test_a_word_goes_back_to_the_line_it_stands_on(spark):
+    frame = spark.createDataFrame([block(0, "It is done.", y=650.0), block(1, "diving", line_count=1, y=650.5, top=660.0, x=300.0)], units.BLOCKS)
+    with_ends = frame.withColumn("line_end", F.when(F.col("ord") == 0, 290.0))
+    got = [(r["unit_id"], r["merge_reason"]) for r in units.build_units(with_ends).collect()]
+    assert got == [("merged-b0-b1", "b0→b1 (tail: continues-the-same-line)")]
+    assert units.build_units(frame.withColumn("line_end", F.lit(400.0))).count() == 2
