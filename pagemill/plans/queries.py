@@ -11,6 +11,7 @@ from ..functions import citations, fitting, numeric, predicates, risk, scripts,
 from ..operators import batching, layout, render, sampling, scope, sections, spatial, tables, translate, units
 from ..sources.synth import text_items
 from ..streaming import limiter
+from . import more
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -147,18 +148,20 @@ def completeness(spark, sf_dir):
 
 
 @_query(
-    """WITH p AS (SELECT doc_id, left(text, 12) || CASE WHEN doc_id % 3 = 0 THEN '-' ELSE '' END AS a, lower(substr(text, 13, 20)) AS b FROM documents WHERE length(text) > 40),
-q AS (SELECT doc_id, regexp_replace(a, '[\\s]+$', '') AS p, regexp_replace(b, '^[\\s]+', '') AS n FROM p),
-t AS (SELECT *, regexp_extract(p, '([^\\s]+)-$', 1) AS token, regexp_replace(regexp_extract(p, '([^\\s]+)-$', 1), '^[^A-Za-z0-9]+', '') AS core FROM q)
-SELECT doc_id, CASE WHEN p = '' THEN n WHEN n = '' THEN p WHEN token = '' THEN p || ' ' || n
+    r"""WITH l AS (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+a AS (SELECT doc_id, i - 1 AS ord, l[i] || CASE WHEN (doc_id + i) % 3 = 0 THEN '-' ELSE '' END AS a, lower(l[i + 1]) AS b FROM l),
+q AS (SELECT doc_id, ord, regexp_replace(a, '[SS]+$', '') AS p, regexp_replace(b, '^[SS]+', '') AS n FROM a),
+t AS (SELECT *, regexp_extract(p, '([^SS]+)-$', 1) AS token, regexp_replace(regexp_extract(p, '([^SS]+)-$', 1), '^[^A-Za-z0-9]+', '') AS core FROM q)
+SELECT doc_id, ord::INTEGER AS ord, md5(CASE WHEN p = '' THEN n WHEN n = '' THEN p WHEN token = '' THEN p || ' ' || n
   WHEN regexp_matches(n, '^[a-z]') AND regexp_matches(core, '^[A-Za-z]{2,}$') AND lower(core) NOT IN ('well', 'self', 'cross', 'quasi', 'pseudo', 'ex', 'ill', 'so') THEN left(p, length(p) - 1) || n
-  ELSE p || n END AS joined FROM t"""
+  ELSE p || n END) AS joined FROM t""".replace("SS", S)
 )
 def hyphen_join(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").where(F.length("text") > 40)
-    a = F.concat(F.substring("text", 1, 12), F.when(F.col("doc_id") % 3 == 0, "-").otherwise(""))
-    b = F.lower(F.substring("text", 13, 20))
-    return docs.select("doc_id", text.join_fragments(a, b).alias("joined"))
+    lines = F.split("text", r"\n")
+    pairs = F.zip_with(lines, F.slice(lines, F.lit(2), F.size(lines)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    each = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(pairs).alias("ord", "p")).where("p.b IS NOT NULL")
+    a = F.concat("p.a", F.when((F.col("doc_id") + F.col("ord") + 1) % 3 == 0, "-").otherwise(""))
+    return each.select("doc_id", "ord", F.md5(text.join_fragments(a, F.lower("p.b"))).alias("joined"))
 
 
 @_query(
@@ -180,14 +183,20 @@ def entity_counts(spark, sf_dir):
 
 
 @_query(
-    """WITH p AS (SELECT doc_id, doc_id % 90 + 1 AS k, CASE WHEN doc_id % 7 = 0 THEN doc_id % 90 + 2 ELSE doc_id % 90 + 1 END AS j FROM documents)
-SELECT doc_id, k = j AS ok, CASE WHEN k = j THEN '' ELSE '[' || k || ']' END AS missing, CASE WHEN k = j THEN '' ELSE '[' || j || ']' END AS added FROM p"""
+    """WITH p AS (SELECT doc_id, doc_id % 90 + 1 AS k, CASE WHEN doc_id % 7 = 0 THEN doc_id % 90 + 2 ELSE doc_id % 90 + 1 END AS j FROM documents),
+f AS (SELECT doc_id, k = j AS ok, CASE doc_id % 4 WHEN 0 THEN '[' || k || ']' WHEN 1 THEN '(Smith et al.,' || (1900 + k) || ')' WHEN 2 THEN 'Table ' || k ELSE '[' || k || ',' || (k + 2) || '-' || (k + 5) || ']' END AS a,
+  CASE doc_id % 4 WHEN 0 THEN '[' || j || ']' WHEN 1 THEN '(Smith et al.,' || (1900 + j) || ')' WHEN 2 THEN 'Table ' || j ELSE '[' || j || ',' || (j + 2) || '-' || (j + 5) || ']' END AS b FROM p)
+SELECT doc_id, ok, CASE WHEN ok THEN '' ELSE a END AS missing, CASE WHEN ok THEN '' ELSE b END AS added FROM f"""
 )
 def citation_diff(spark, sf_dir):
     k = F.col("doc_id") % 90 + 1
     j = F.when(F.col("doc_id") % 7 == 0, k + 1).otherwise(k)
-    cite = lambda n: F.concat(F.substring("text", 1, 60), F.lit(" ["), n.cast("string"), F.lit("] and [ 3 ]"))
-    diff = _t(spark, sf_dir, "documents").select("doc_id", citations.compare(cite(k), cite(j)).alias("d"))
+    form = F.col("doc_id") % 4
+    said = lambda n: n.cast("string")
+    cited = lambda n: F.when(form == 0, F.concat(F.lit("["), said(n), F.lit("]"))).when(form == 1, F.concat(F.lit("(Smith et al., "), said(n + 1900), F.lit(")"))).when(form == 2, F.concat(F.lit("Table "), said(n))).otherwise(F.concat(F.lit("["), said(n), F.lit(", "), said(n + 2), F.lit("–"), said(n + 5), F.lit("]")))
+    # the whole text, with a marker before and one after it, in two editions
+    edition = lambda n: F.concat(F.lit("See "), cited(n), F.lit(": "), "text", F.lit(" and [3]."))
+    diff = _t(spark, sf_dir, "documents").select("doc_id", citations.compare(edition(k), edition(j)).alias("d"))
     return diff.select("doc_id", "d.ok", F.array_join("d.missing", "|").alias("missing"), F.array_join("d.added", "|").alias("added"))
 
 
@@ -382,7 +391,7 @@ def gap_lines(spark, sf_dir):
 
 
 @_query(
-    f"""WITH {_ITEMS}, l AS (SELECT *, length(text) * 0.5 * font_size AS width, CASE WHEN item_id % 13 = 4 THEN 58.0 ELSE 50.0 END AS lx FROM items WHERE item_id % 9 <> 5),
+    f"""WITH {_ITEMS}, l AS (SELECT *, length(text) * 0.5 * font_size AS width, CASE WHEN item_id % 13 = 4 THEN 58.0 ELSE 50.0 END AS lx FROM (SELECT * REPLACE (y - CASE WHEN item_id % 9 >= 5 THEN 12 ELSE 0 END AS y) FROM items)),
 m AS (SELECT *, max(width) OVER (PARTITION BY doc_id, page) AS room FROM l),
 b AS (SELECT *, lag(item_id) OVER w AS pi, lag(page) OVER w AS pp, lag(font_size) OVER w AS pf, lag(y) OVER w AS py, lag(lx) OVER w AS px, lag(width) OVER w AS pw, lag(room) OVER w AS pr FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY item_id)),
 c AS (SELECT doc_id, CASE WHEN pi IS NULL THEN 'start' WHEN pp <> page THEN 'page' WHEN font_size / pf > 1.15 OR font_size / pf < 0.85 THEN 'font-size'
@@ -390,7 +399,7 @@ c AS (SELECT doc_id, CASE WHEN pi IS NULL THEN 'start' WHEN pp <> page THEN 'pag
 SELECT reason, count(*)::BIGINT AS n FROM c WHERE reason IS NOT NULL GROUP BY 1"""
 )
 def paragraphs(spark, sf_dir):
-    items = text_items(_t(spark, sf_dir, "documents")).where(F.col("item_id") % 9 != 5).withColumn("x", F.when(F.col("item_id") % 13 == 4, 58.0).otherwise(50.0))
+    items = text_items(_t(spark, sf_dir, "documents")).withColumn("y", F.col("y") - F.when(F.col("item_id") % 9 >= 5, 12.0).otherwise(0.0)).withColumn("x", F.when(F.col("item_id") % 13 == 4, 58.0).otherwise(50.0))
     return layout.paragraphs(items).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -610,7 +619,7 @@ def term_samples(spark, sf_dir):
 def table_cells(spark, sf_dir):
     k = F.col("l_linenumber")
     cell = F.when(k % 3 == 0, F.concat(F.lit("Line "), k.cast("string"))).otherwise(F.col("l_quantity").cast("long").cast("string"))
-    lines = _t(spark, sf_dir, "lineitem").where(F.col("l_linenumber") <= 6)
+    lines = _t(spark, sf_dir, "lineitem")
     items = lines.select(
         (F.col("l_orderkey") % 97).alias("doc_id"), F.floor(F.col("l_orderkey") / 1000).cast("int").alias("table_id"), F.lit(1).alias("page"), (F.col("l_orderkey") * 10 + k).alias("item_id"), cell.alias("text"),
         (F.lit(50.0) + k * 80).alias("x"), (F.lit(700.0) - F.floor(F.col("l_orderkey") / 97) % 10 * 12).cast("double").alias("y"), (F.length(cell) * 4.0).alias("width"), F.lit(8.0).alias("font_size"),
@@ -632,8 +641,8 @@ def block_backgrounds(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_Q)
+    return _Q | more.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | more.oracle_sql()
