@@ -115,10 +115,14 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs`` with all their columns, each as often as it is taken."""
+    """The mix itself: the rows of ``docs`` with all their columns, whatever their names, each as often as it is taken.
+
+    Null and empty texts have size 0 and are never taken; rows that repeat a doc_id are taken or left together; texts of
+    any length are counted whole; an empty table gives an empty result.
+    """
     plan = plan_mix(docs, **options)
     kept = {k: v for k, v in options.items() if k in ("max_copies", "seed", "appetite")}
-    taken = with_copies(docs.select("*", F.struct("*").alias("m_row")).select("doc_id", "source", "m_row", *([options["appetite"]] if options.get("appetite") else [])), plan, **kept)
+    taken = with_copies(docs.select("doc_id", "source", F.struct("*").alias("m_row"), *([options["appetite"]] if options.get("appetite") else [])), plan, **kept)
     return taken.where("copies > 0").select("m_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("m_copy")).select("m_row.*")
 
 

@@ -398,7 +398,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
 def drop_similar(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, the one with the least doc_id, all its columns.
 
-    Rows that repeat a doc_id and its text are one document.
+    Rows that repeat a doc_id and its text are one document.  Null and empty texts are one group; of equal
+    least ids the text's hash decides; other columns may have any name; an empty table gives an empty result.
     """
     groups = staged(similar_groups(docs.select("doc_id", "text"), **options), "groups")
     own = F.struct("doc_id", "text_key")

@@ -185,14 +185,15 @@ def contexts_of(met: DataFrame, length: int) -> DataFrame:
 def sampled_splitters(contexts: DataFrame, buckets: int, rows: int, lead: int) -> list[bytes]:
     """At most ``buckets`` - 1 splitters from a sample of the suffixes' leading bytes.
 
-    The sample is sorted by Spark; only every so many-th of it, one splitter a bucket, reaches the driver.
+    The sample is sorted by Spark, equal suffixes by their names so that none gathers in one task; only every
+    so many-th of it, one splitter a bucket, reaches the driver.
     """
     if buckets < 2:
         return []
     share = min(1.0, buckets * SAMPLES_A_BUCKET / max(1, rows))
     suffix = F.substring(F.col("context"), F.col("back") + 1, F.lit(2 * lead))
-    picked = contexts.where((F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 20) - 1)) <= int(share * (1 << 20)))).select(suffix.alias("s"))
-    ordered = picked.repartitionByRange(tasks(contexts.sparkSession), "s").sortWithinPartitions("s")
+    picked = contexts.where((F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 20) - 1)) <= int(share * (1 << 20)))).select(suffix.alias("s"), "a", "b")
+    ordered = picked.repartitionByRange(tasks(contexts.sparkSession), "s", "a", "b").sortWithinPartitions("s", "a", "b")
     index = F.monotonically_increasing_id()
     ranked = staged(ordered.select("s", F.shiftright(index, 33).alias("part"), index.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "sample")
     sizes = {r["part"]: r["n"] for r in ranked.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a partition
@@ -327,7 +328,7 @@ def dedupe(docs: DataFrame, length: int = LENGTH, width: int | None = None) -> D
     Every byte that a repeated string of ``length`` bytes covers goes, wherever the string also starts:
     in another row (repeated rows included) or elsewhere in the same one.  ``kept`` is the remaining
     bytes.  Null and empty texts have no bytes; an empty table gives an empty result; other columns are
-    ignored.  Repeated rows of one doc_id and text remove each other whole when they are long enough.
+    ignored.  Very long texts are read whole.  Repeated rows of one doc_id and text remove each other whole when they are long enough.
     """
     docs = docs.select("doc_id", "text")
     texts, runs, size = repeats(docs, length, width or max(1, length // 2))
