@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 
 def js_round(c: Column, digits: int = 0) -> Column:
     """Half up, also below zero."""
@@ -115,21 +117,18 @@ def baseline_groups(items: DataFrame) -> DataFrame:
     An anchor moves only to the first real text (over two characters) or a strictly larger size; a chain
     of small steps therefore does not join two baselines.
     """
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), "x", "item_id", "font_size", (F.length(F.trim("text")) > 2).alias("real"))))
-    none = F.lit(None).cast("double")
-    zero = F.struct(F.lit(-1).alias("row"), none.alias("y"), none.alias("size"), F.lit(False).alias("real"), F.array().cast("array<struct<item_id:bigint,row:int>>").alias("out"))
-
-    def step(s: Column, t: Column) -> Column:
-        joins = s["y"].isNotNull() & (F.abs(-t["down"] - s["y"]) <= F.greatest(t["font_size"], s["size"]) * 0.25)
-        moves = ~F.coalesce(joins, F.lit(False)) | (t["real"] & ~s["real"]) | (t["font_size"] > s["size"])
-        row = F.when(F.coalesce(joins, F.lit(False)), s["row"]).otherwise(s["row"] + 1)
-        return F.struct(
-            row.alias("row"), F.when(moves, -t["down"]).otherwise(s["y"]).alias("y"), F.when(moves, t["font_size"]).otherwise(s["size"]).alias("size"),
-            (t["real"] | (F.coalesce(joins, F.lit(False)) & s["real"])).alias("real"), F.concat(s["out"], F.array(F.struct(t["item_id"].cast("long").alias("item_id"), row.alias("row")))).alias("out"),
-        )
-
-    placed = items.groupBy("doc_id", "page").agg(rows.alias("ts")).select("doc_id", "page", F.explode(F.aggregate("ts", zero, step, lambda s: s["out"])).alias("p"))
-    return items.join(placed.select("doc_id", "page", "p.item_id", "p.row"), ["doc_id", "page", "item_id"])
+    slim = items.select("doc_id", "page", "item_id", "x", "y", "font_size", (F.length(F.trim("text")) > 2).alias("real"))
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple[int]]:
+        _, _, _, _, y, size, real = row
+        if state is None or abs(y - state[1]) > max(size, state[2]) * 0.25:
+            return (0 if state is None else state[0] + 1, y, size, real), (0 if state is None else state[0] + 1,)
+        number, at, most, had = state
+        at, most = (y, size) if (real and not had) or size > most else (at, most)
+        return (number, at, most, had or real), (number,)
+
+    placed = fold(slim, ["doc_id", "page"], [F.col("y").desc(), "x", "item_id"], lambda: None, step, "row int")
+    return items.join(placed.select("doc_id", "page", "item_id", "row"), ["doc_id", "page", "item_id"])
 
 
 def ownership(claims: DataFrame) -> DataFrame:

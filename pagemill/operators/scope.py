@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 PAGE_HEIGHT = 792.0
 
 
@@ -40,30 +42,52 @@ def units_in_chapters(units: DataFrame, chapters: DataFrame) -> DataFrame:
     return inside.groupBy("doc_id", "unit_id").agg(whole.alias("whole"))
 
 
-def chapter_tree(headings: DataFrame, key: str = "doc_id", depth: int = 8) -> DataFrame:
+def chapter_tree(headings: DataFrame, key: str = "doc_id") -> DataFrame:
     """Headings (key, ord, level) with ``parent`` (the nearest earlier one above) and ``until`` (the next at or above).
 
-    Levels go down to ``depth``, so both are the best of that many running extremes over one window.
+    Both are folds with a stack of open headings, forwards and backwards, so levels may be of any depth.
+    """
+    kind = headings.schema["ord"].dataType.simpleString()
+    level, at = headings.columns.index("level"), headings.columns.index("ord")
+
+    def forwards(stack: list, row: tuple) -> tuple[list, tuple]:
+        while stack and stack[-1][0] >= row[level]:
+            stack.pop()
+        parent = stack[-1][1] if stack else None
+        return [*stack, (row[level], row[at])], (parent,)
+
+    def backwards(stack: list, row: tuple) -> tuple[list, tuple]:
+        while stack and stack[-1][0] > row[level]:
+            stack.pop()
+        until = stack[-1][1] if stack else None
+        return [*stack, (row[level], row[at])], (until,)
+
+    down = fold(headings, [key], ["ord"], list, forwards, f"parent {kind}")
+    return fold(down, [key], [F.col("ord").desc()], list, backwards, f"until {kind}")
+
+
+def end_of_chapter(tree: DataFrame, height: float = 792.0, share: float = 0.06) -> DataFrame:
+    """Chapters (doc_id, ord, page, top, until, ...) with ``end_page``: where the next one at or above starts.
+
+    A chapter that begins in the top ``share`` of its page leaves that page to itself: the one before ends
+    on the page before, but never before its own start.
     """
-    w = Window.partitionBy(key).orderBy("ord")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    here = lambda n: F.when(F.col("level") == n, F.col("ord"))
-    earlier = [F.when(F.col("level") > n, F.max(here(n)).over(before)) for n in range(1, depth + 1)]
-    later = [F.when(F.col("level") >= n, F.min(here(n)).over(after)) for n in range(1, depth + 1)]
-    return headings.withColumn("parent", F.greatest(*earlier)).withColumn("until", F.least(*later))
+    after = tree.select("doc_id", F.col("ord").alias("until"), F.col("page").alias("n_page"), F.col("top").alias("n_top"))
+    high = F.coalesce(F.col("n_top") >= height * (1 - share), F.lit(False))
+    end = F.greatest(F.col("page"), F.when(high, F.col("n_page") - 1).otherwise(F.col("n_page")))
+    return tree.join(after, ["doc_id", "until"], "left").withColumn("end_page", F.when(F.col("n_page").isNotNull(), end)).drop("n_page", "n_top")
 
 
 def settle_levels(headings: DataFrame, key: str = "doc_id") -> DataFrame:
     """Levels that start at 1 and never jump down by more than one from the heading before."""
-    rows = F.array_sort(F.collect_list(F.struct("ord", F.col("level").cast("int").alias("level"))))
-    per = headings.groupBy(key).agg(rows.alias("hs"), F.min("level").cast("int").alias("least"))
-    zero = F.struct(F.lit(0).alias("last"), F.array().cast("array<struct<ord:bigint,level:int>>").alias("out"))
+    least = headings.groupBy(key).agg(F.min("level").cast("int").alias("least"))
+    rows = headings.join(least, key).select(key, F.col("ord").cast("long").alias("ord"), F.col("level").cast("int").alias("was"), "least")
 
-    def step(s: Column, h: Column) -> Column:
-        level = F.least(h["level"] - F.col("least") + 1, s["last"] + 1)
-        return F.struct(level.alias("last"), F.concat(s["out"], F.array(F.struct(h["ord"].cast("long").alias("ord"), level.alias("level")))).alias("out"))
+    def step(last: int, row: tuple) -> tuple[int, tuple[int]]:
+        level = min(row[2] - row[3] + 1, last + 1)
+        return level, (level,)
 
-    return per.select(key, F.explode(F.aggregate("hs", zero, step, lambda s: s["out"])).alias("h")).select(key, "h.ord", "h.level")
+    return fold(rows, [key], ["ord"], int, step, "level int").select(key, "ord", "level")
 
 
 def validation(units: DataFrame, max_blocks: int = 50, block_chars: int = 6000, total_chars: int = 40_000) -> DataFrame:

@@ -8,6 +8,7 @@ deterministic and needs no network.  Batches are rows; how many run at once is t
 from __future__ import annotations
 
 import re
+import tempfile
 import time
 from collections.abc import Callable, Iterator
 
@@ -79,14 +80,28 @@ def accepted(units: DataFrame, replies: DataFrame) -> DataFrame:
     return units.join(good, ["doc_id", "id"], "left")
 
 
+def _said(replies: DataFrame) -> DataFrame:
+    """``replies`` written before anything reads them, so that a paid request is made once whatever reads its answer.
+
+    They go to spark.checkpoint.dir, or, in local mode without one (tests), to a folder of this machine.
+    """
+    context = replies.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = replies.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagemill-"))
+    return replies.checkpoint(eager=True)
+
+
 def translate(units: DataFrame, provider=None, concurrency: int = 3, wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """``units`` (doc_id, ord, id, text) with ``translation`` and ``status`` (done, failed).
 
     Ids that the first pass did not bring are asked for once more, five to a request.
     """
-    first = accepted(units, ask_batches(greedy_batches(units), provider, concurrency, wait))
+    first = accepted(units, _said(ask_batches(greedy_batches(units), provider, concurrency, wait)))
     again = first.where("translation IS NULL").drop("translation")
-    second = accepted(again, ask_batches(greedy_batches(again, max_blocks=MISSING_BATCH), provider, concurrency, wait))
+    second = accepted(again, _said(ask_batches(greedy_batches(again, max_blocks=MISSING_BATCH), provider, concurrency, wait)))
     both = first.where("translation IS NOT NULL").unionByName(second)
     return both.withColumn("status", F.when(F.col("translation").isNotNull(), "done").otherwise("failed"))
 

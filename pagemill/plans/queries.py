@@ -448,7 +448,16 @@ def ownership(spark, sf_dir):
     return layout.ownership(claims)
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE {_WORD_ITEMS}, j AS (SELECT doc_id, item_id, x, y + CASE item_id % 4 WHEN 1 THEN 1.5 WHEN 2 THEN 3.5 ELSE 0.0 END AS y, length(trim(text)) > 2 AS is_real FROM words),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y DESC, x, item_id) AS r FROM j),
+f AS (
+  SELECT doc_id, r, 0 AS row_, y AS base, is_real AS had FROM o WHERE r = 1
+  UNION ALL
+  SELECT o.doc_id, o.r, CASE WHEN abs(o.y - f.base) <= 2.5 THEN f.row_ ELSE f.row_ + 1 END, CASE WHEN abs(o.y - f.base) > 2.5 OR (o.is_real AND NOT f.had) THEN o.y ELSE f.base END, o.is_real OR (abs(o.y - f.base) <= 2.5 AND f.had)
+  FROM f JOIN o ON o.doc_id = f.doc_id AND o.r = f.r + 1)
+SELECT doc_id, row_::INTEGER AS row, count(*)::BIGINT AS items FROM f GROUP BY 1, 2"""
+)
 def baseline_groups(spark, sf_dir):
     jitter = F.when(F.col("item_id") % 4 == 1, 1.5).when(F.col("item_id") % 4 == 2, 3.5).otherwise(0.0)
     return layout.baseline_groups(_word_items(spark, sf_dir).withColumn("y", F.col("y") + jitter)).groupBy("doc_id", "row").agg(F.count("*").alias("items"))

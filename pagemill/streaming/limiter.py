@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.folds import fold
+
 # The policies of the service, as (bucket, limit, seconds).
 POLICIES = {"auth": (("attempts", 5, 60),), "requests": (("requests", 20, 60), ("chars", 250_000, 300))}
 LEASES, LEASE_SECONDS = 4, 300
@@ -23,37 +25,16 @@ def admit_batch(events: DataFrame, buckets: tuple[tuple[str, int, int], ...], co
     """``events`` (key, at in seconds, seq) with ``allowed``, ``bucket`` and ``retry_after``.
 
     A bucket's cost is 1 unless ``costs`` names a column.  The decision for an event depends on every
-    earlier one of its key, so a key is one fold; it holds (at, seq, costs) only.
+    earlier one of its key, so a key is one fold in order of (at, seq), whose state is its limiter.
     """
     cost = [(costs or {}).get(name, F.lit(1)).cast("long").alias(f"c{i}") for i, (name, _, _) in enumerate(buckets)]
-    rows = F.array_sort(F.collect_list(F.struct(F.col("at").cast("double").alias("at"), "seq", *[F.col(f"c{i}") for i in range(len(buckets))])))
-    per = events.select("key", "at", "seq", *cost).groupBy("key").agg(rows.alias("es"))
-    state = F.array(*[F.struct(F.lit(0).cast("long").alias("count"), F.lit(-1.0).alias("reset")) for _ in buckets])
-    kind = "array<struct<seq:bigint,allowed:boolean,bucket:string,retry_after:int>>"
-    zero = F.struct(state.alias("w"), F.array().cast(kind).alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        open_ = [F.get(s["w"], F.lit(i)) for i in range(len(buckets))]
-        live = [w["reset"] > e["at"] for w in open_]
-        count = [F.when(on, w["count"]).otherwise(F.lit(0).cast("long")) for on, w in zip(live, open_)]
-        full = [count[i] + e[f"c{i}"] > limit for i, (_, limit, _) in enumerate(buckets)]
-        none = ~F.lit(False)
-        for f in full:
-            none = none & ~f
-        bucket, wait = F.lit(None).cast("string"), F.lit(None).cast("int")
-        for i in reversed(range(len(buckets))):
-            name, _, seconds = buckets[i]
-            left = F.when(live[i], open_[i]["reset"] - e["at"]).otherwise(F.lit(float(seconds)))
-            bucket = F.when(full[i], F.lit(name)).otherwise(bucket)
-            wait = F.when(full[i], F.greatest(F.lit(1), F.ceil(left).cast("int"))).otherwise(wait)
-        new = F.array(*[
-            F.struct(F.when(none, count[i] + e[f"c{i}"]).otherwise(open_[i]["count"]).alias("count"), F.when(none & ~live[i], e["at"] + seconds).otherwise(open_[i]["reset"]).alias("reset"))
-            for i, (_, _, seconds) in enumerate(buckets)
-        ])
-        said = F.struct(e["seq"].cast("long").alias("seq"), none.alias("allowed"), bucket.alias("bucket"), wait.alias("retry_after"))
-        return F.struct(new.alias("w"), F.concat(s["out"], F.array(said)).alias("out"))
-
-    return per.select("key", F.explode(F.aggregate("es", zero, step, lambda s: s["out"])).alias("d")).select("key", "d.*")
+    rows = events.select("key", F.col("at").cast("double").alias("at"), F.col("seq").cast("long").alias("seq"), *cost)
+
+    def step(limiter: Limiter, row: tuple) -> tuple[Limiter, tuple]:
+        return limiter, limiter.admit(row[1], {name: row[3 + i] for i, (name, _, _) in enumerate(buckets)})
+
+    decided = fold(rows, ["key"], ["at", "seq"], lambda: Limiter(buckets), step, "allowed boolean, bucket string, retry_after int")
+    return decided.select("key", "seq", "allowed", "bucket", "retry_after")
 
 
 class Limiter:

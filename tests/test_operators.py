@@ -159,3 +159,12 @@ def test_partitions_change_nothing(spark):
         seen.append(sorted((r["doc_id"], r["ord"], r["batch"]) for r in batching.greedy_batches(df, max_chars=900).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert seen[0] == seen[1] == seen[2]
+
+
+def test_deep_chapters_and_ends(spark):
+    rows = [(1, i, level, page, top) for i, (level, page, top) in enumerate([(1, 1, 700.0), (9, 1, 600.0), (12, 2, 700.0), (9, 3, 780.0), (1, 5, 100.0)])]
+    tree = scope.chapter_tree(frame(spark, rows, "doc_id int, ord long, level int, page int, top double"))
+    got = {r["ord"]: (r["parent"], r["until"]) for r in tree.collect()}
+    assert got == {0: (None, 4), 1: (0, 3), 2: (1, 3), 3: (0, 4), 4: (None, None)}
+    ends = {r["ord"]: r["end_page"] for r in scope.end_of_chapter(tree).collect()}
+    assert ends == {0: 5, 1: 2, 2: 2, 3: 5, 4: None}

@@ -108,3 +108,24 @@ def test_a_word_goes_back_to_the_line_it_stands_on(spark):
     got = [(r["unit_id"], r["merge_reason"]) for r in units.build_units(with_ends).collect()]
     assert got == [("merged-b0-b1", "b0→b1 (tail: continues-the-same-line)")]
     assert units.build_units(frame.withColumn("line_end", F.lit(400.0))).count() == 2
+
+
+def test_a_provider_is_asked_once(spark, tmp_path):
+    class Counting:
+        """Writes a file for every request, and leaves out every fourth id at first."""
+
+        def __init__(self, folder):
+            self.folder = folder
+
+        def translate(self, rows):
+            import uuid
+
+            (self.folder / uuid.uuid4().hex).write_text(",".join(i for i, _ in rows))
+            return [(i, "文 " + t) for i, t in rows if len(rows) <= 5 or int(i) % 4]
+
+    rows = [(d, i, str(i), f"text {d} {i}") for d in range(3) for i in range(30)]
+    got = translate.translate(spark.createDataFrame(rows, "doc_id long, ord int, id string, text string"), Counting(tmp_path), 2, wait=lambda s: None)
+    assert got.count() == 90 and got.where("status = 'done'").count() == 90 and got.count() == 90
+    asked = [p.read_text().split(",") for p in tmp_path.iterdir()]
+    # two requests of at most 25 a document at first, then its missing ids five at a time, whatever was read since
+    assert len(asked) == 3 * 2 + 3 * 2 and sum(map(len, asked)) == 90 + 3 * 7 or sum(map(len, asked)) == 90 + 3 * 8
