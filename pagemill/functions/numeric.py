@@ -36,8 +36,12 @@ def literal_map(values: dict) -> Column:
 def normalize(c: Column) -> Column:
     """One spelling for digits, dashes, separators, percent signs and spaces around operators."""
     t = F.translate(c, "０１２３４５６７８９．％＝＜＞＋（），–—‐‑−﹣－×\u00a0", "0123456789.%=<>+(),-------x ")
-    for _ in range(4):
-        t = F.regexp_replace(t, r"(\d),(\d{3})(?!\d)", "$1$2")
+    def grouped(u: Column) -> Column:
+        for _ in range(4):
+            u = F.regexp_replace(u, r"(\d),(\d{3})(?!\d)", "$1$2")
+        return u
+
+    t = bound(t, lambda u: F.when(F.contains(u, F.lit(",")), grouped(u)).otherwise(u))
     s = f"[{SPACE}]"
     for pattern, put in (
         (rf"(?i)(\d){s}*percent{B1}", "$1%"),
@@ -72,12 +76,22 @@ def _magnitudes(t: Column, pattern: str) -> Column:
 
 def signature(c: Column) -> Column:
     """struct<numbers, stats>: sorted multisets of the numbers and statistics of a text."""
-    return bound(normalize(c), _signature)
+    return bound(normalize(c), lambda t: bound(F.struct(t.alias("t"), F.when(_has_words(t), F.regexp_replace(t, _EN, " ")).otherwise(t).alias("no_en")), _signature))
+
+
+def _has_words(t: Column) -> Column:
+    return F.regexp_like(t, F.lit("(?i)thousand|illion"))
+
+
+def _has_cjk_units(t: Column) -> Column:
+    return F.regexp_like(t, F.lit("[千萬億兆]"))
 
 
-def _signature(t: Column) -> Column:
-    no_en = F.regexp_replace(t, _EN, " ")
-    big = F.concat(_magnitudes(t, _EN), bound(no_en, lambda u: _magnitudes(u, _ZH)))
+def _signature(s: Column) -> Column:
+    """Patterns are only tried on texts that hold a mark without which they cannot match."""
+    none = F.array().cast("array<string>")
+    no_en = s["no_en"]
+    big = F.concat(F.when(_has_words(s["t"]), _magnitudes(s["t"], _EN)).otherwise(none), F.when(_has_cjk_units(no_en), _magnitudes(no_en, _ZH)).otherwise(none))
     token = rf"((?<![A-Za-z0-9_]){SIGN}?(?:\d+(?:\.\d+)?|(?<![A-Za-z0-9_.)\]”\"'])\.\d+)%?)"
     signed = lambda rest: F.regexp_replace(rest, rf"(^|[{SPACE}(\[=<>:;,/])-(?=[\d.])", f"$1{SIGN}")
     p, n = r"(?<![A-Za-z])[pP]([=<>≤≥])(\.?\d+(?:\.\d+)?)", r"(?<![A-Za-z])[nN]=(\d+)"
@@ -87,13 +101,13 @@ def _signature(t: Column) -> Column:
         of = lambda pattern, k: F.regexp_extract_all(rest, F.lit(pattern), F.lit(k))
         numbers = F.transform(F.regexp_extract_all(signed(rest), F.lit(token), F.lit(1)), canonical)
         stats = F.concat(
-            F.zip_with(of(p, 1), of(p, 2), lambda o, v: F.concat(F.lit("p"), o, canonical(v))),
-            F.transform(of(n, 1), lambda v: F.concat(F.lit("n="), canonical(v))),
-            F.zip_with(of(pm, 1), of(pm, 2), lambda a, b: F.concat(canonical(a), F.lit("±"), canonical(b))),
+            F.when(F.regexp_like(rest, F.lit("[pP][=<>≤≥]")), F.zip_with(of(p, 1), of(p, 2), lambda o, v: F.concat(F.lit("p"), o, canonical(v)))).otherwise(none),
+            F.when(F.regexp_like(rest, F.lit("[nN]=")), F.transform(of(n, 1), lambda v: F.concat(F.lit("n="), canonical(v)))).otherwise(none),
+            F.when(F.contains(rest, F.lit("±")), F.zip_with(of(pm, 1), of(pm, 2), lambda a, b: F.concat(canonical(a), F.lit("±"), canonical(b)))).otherwise(none),
         )
         return F.struct(F.array_sort(F.concat(big, numbers)).alias("numbers"), F.array_sort(stats).alias("stats"))
 
-    return bound(F.regexp_replace(no_en, _ZH, " "), read)
+    return bound(F.when(_has_cjk_units(no_en), F.regexp_replace(no_en, _ZH, " ")).otherwise(no_en), read)
 
 
 def multiset_minus(a: Column, b: Column) -> Column:

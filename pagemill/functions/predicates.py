@@ -49,9 +49,11 @@ def is_numeric_only(c: Column) -> Column:
 
 def is_numeric_row(c: Column) -> Column:
     """At least three values, and three fifths of the tokens that carry a letter or digit."""
-    tokens = F.filter(F.split(c, rf"[{SPACE}]+"), lambda t: F.regexp_like(t, F.lit("[A-Za-z0-9]")))
-    values = F.size(F.filter(tokens, is_numeric_only))
-    return (values >= 3) & (values / F.size(tokens) >= 0.6)
+    tokens = lambda: F.filter(F.split(c, rf"[{SPACE}]+"), lambda t: F.regexp_like(t, F.lit("[A-Za-z0-9]")))
+    values = lambda ts: F.struct(F.size(F.filter(ts, is_numeric_only)).alias("values"), F.size(ts).alias("tokens"))
+    share = lambda n: (n["values"] >= 3) & (n["values"] / n["tokens"] >= 0.6)
+    # a value has a digit, so a text of fewer than three digits is not taken apart
+    return F.when(like(c, r"\d\D*\d\D*\d"), bound(bound(tokens(), values), share)).otherwise(F.lit(False))
 
 
 def is_abbreviation_only(c: Column) -> Column:
@@ -116,7 +118,7 @@ def caption_kind(c: Column) -> Column:
 
 def looks_like_equation(c: Column) -> Column:
     solid = F.length(F.regexp_replace(c, rf"[{SPACE}]+", ""))
-    return (solid == 0) | (letters(c) / solid < 0.4) | ((F.regexp_count(c, F.lit(MATH)) >= 3) & (words(c) <= 12))
+    return (solid == 0) | (letters(c) / solid < 0.4) | ((words(c) <= 12) & (F.regexp_count(c, F.lit(MATH)) >= 3))
 
 
 def is_all_caps(c: Column) -> Column:

@@ -76,18 +76,23 @@ def join_fragments(a: Column, b: Column) -> Column:
     A hyphen at the break is a typesetting one when lower case follows it and the word before is plain
     letters, longer than one, and no prefix that keeps its hyphen.
     """
-    p = F.regexp_replace(a, rf"[{SPACE}]+$", "")
-    n = F.regexp_replace(b, rf"^[{SPACE}]+", "")
-    token = F.regexp_extract(p, rf"([^{SPACE}]+)-$", 1)
-    core = F.regexp_replace(token, r"^[^A-Za-z0-9]+", "")
-    broken = F.regexp_like(n, F.lit(r"^[a-z]")) & F.regexp_like(core, F.lit(r"^[A-Za-z]{2,}$")) & ~F.lower(core).isin(KEPT_PREFIXES)
-    return (
-        F.when(p == "", n)
-        .when(n == "", p)
-        .when(token == "", F.concat(p, F.lit(" "), n))
-        .when(broken, F.concat(F.substr(p, F.lit(1), F.length(p) - 1), n))
-        .otherwise(F.concat(p, n))
-    )
+    def joined(s: Column) -> Column:
+        p, n, token, core = s["p"], s["n"], s["token"], s["core"]
+        broken = F.regexp_like(n, F.lit(r"^[a-z]")) & F.regexp_like(core, F.lit(r"^[A-Za-z]{2,}$")) & ~F.lower(core).isin(KEPT_PREFIXES)
+        return (
+            F.when(p == "", n)
+            .when(n == "", p)
+            .when(token == "", F.concat(p, F.lit(" "), n))
+            .when(broken, F.concat(F.substr(p, F.lit(1), F.length(p) - 1), n))
+            .otherwise(F.concat(p, n))
+        )
+
+    # only a text that ends with a hyphen has a token, and looking for one backs off over every other word
+    token = lambda p: F.when(F.endswith(p, F.lit("-")), F.regexp_extract(p, rf"([^{SPACE}]+)-$", 1)).otherwise(F.lit(""))
+    ends = F.struct(F.regexp_replace(a, rf"[{SPACE}]+$", "").alias("p"), F.regexp_replace(b, rf"^[{SPACE}]+", "").alias("n"))
+    with_token = lambda s: F.struct(s["p"].alias("p"), s["n"].alias("n"), token(s["p"]).alias("token"))
+    with_core = lambda s: F.struct(s["p"].alias("p"), s["n"].alias("n"), s["token"].alias("token"), F.regexp_replace(s["token"], r"^[^A-Za-z0-9]+", "").alias("core"))
+    return bound(bound(bound(ends, with_token), with_core), joined)
 
 
 def join_lines(lines: Column) -> Column:
