@@ -130,8 +130,8 @@ def cell_skips(spark, sf_dir):
 
 @_query(
     """WITH b AS (SELECT l_orderkey % 50 AS doc_id, l_partkey % 4 AS page, l_orderkey * 10 + l_linenumber AS block_id, (l_suppkey % 90) * 8.0 AS y, l_linenumber % 3 = 0 AS vals FROM lineitem),
-h AS (SELECT DISTINCT block_id FROM b JOIN (SELECT unnest(range(0, 4)) AS page, unnest([100.0, 200.0, 300.0, 400.0]) AS lo, unnest([160.0, 290.0, 330.0, 600.0]) AS hi) k USING (page) WHERE vals AND y + 5 BETWEEN lo AND hi)
-SELECT doc_id, count(*)::BIGINT AS blocks, count(*) FILTER (block_id IN (SELECT block_id FROM h))::BIGINT AS suppressed FROM b GROUP BY 1"""
+h AS (SELECT DISTINCT block_id, page FROM b JOIN (SELECT unnest(range(0, 4)) AS page, unnest([100.0, 200.0, 300.0, 400.0]) AS lo, unnest([160.0, 290.0, 330.0, 600.0]) AS hi) k USING (page) WHERE vals AND y + 5 BETWEEN lo AND hi)
+SELECT doc_id, count(*)::BIGINT AS blocks, count(*) FILTER ((block_id, page) IN (SELECT (block_id, page) FROM h))::BIGINT AS suppressed FROM b GROUP BY 1"""
 )
 def band_suppression(spark, sf_dir):
     n = F.col("l_linenumber") % 3 == 0
