@@ -11,6 +11,9 @@ from .text import trim
 
 # Fixed value: the marker that a footnote starts with.
 FOOTNOTE_MARKER = r"^(\d{1,3}|[*∗⁎†‡§¶]{1,2}|[¹²³⁴⁵⁶⁷⁸⁹⁰]{1,3})(?=\s|[A-Z(\[“\"])"
+# Roles of block types before any detector runs, and the roles that a request names.
+DEFAULT_ROLES = {"HEADING": "HEADING", "TITLE": "HEADING", "CAPTION": "CAPTION", "TABLE": "TABLE", "FIGURE": "FIGURE", "FOOTNOTE": "FOOTNOTE", "REFERENCE": "REFERENCE"}
+REQUEST_ROLES = ["STRUCTURED_LABEL", "SIDEBAR_HEADING", "SIDEBAR_LABEL", "SIDEBAR_BODY"]
 # Words that are not counted in a label.
 LABEL_STOPS = ["and", "of", "the", "in"]
 
@@ -74,3 +77,23 @@ def usage_count(n: Column) -> Column:
 def glossary_lines(terms: Column) -> Column:
     """array<struct<source, target>> as the lines of a prompt."""
     return F.array_join(F.transform(terms, lambda t: F.concat(F.lit("- "), trim(t["source"]), F.lit(" => "), trim(t["target"]))), "\n")
+
+
+def role_of(kind: Column, role: Column) -> Column:
+    """A block's own role, else that of its type; BODY for every other type."""
+    named = F.create_map(*[F.lit(v) for pair in DEFAULT_ROLES.items() for v in pair])
+    return F.coalesce(role, F.element_at(named, F.coalesce(kind, F.lit(""))), F.lit("BODY"))
+
+
+def report_line(label: str, value: Column) -> Column:
+    """A line of a report: the label in 26 columns, the value to the right in 12."""
+    padded = F.when(F.length(value) < 12, F.lpad(value, 12, " ")).otherwise(value)
+    return F.concat(F.lit("  " + label.ljust(26)), padded)
+
+
+def usage_lines(usage: Column) -> Column:
+    """The report lines of struct<input, cached, output, reasoning, ms> in order."""
+    named = [("input tokens", "input"), ("cached input tokens", "cached"), ("output tokens", "output"), ("reasoning tokens", "reasoning")]
+    lines = [report_line(label, tokens(usage[field].cast("double"))) for label, field in named]
+    processed = report_line("processed (in + out)", tokens((usage["input"] + usage["output"]).cast("double")))
+    return F.array(*lines, processed, report_line("time", F.concat(seconds(usage["ms"]), F.lit("s"))))

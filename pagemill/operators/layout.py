@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import fold
+from .regions import region_extents
 
 
 def js_round(c: Column, digits: int = 0) -> Column:
@@ -58,27 +59,36 @@ def page_columns(lines: DataFrame, body: DataFrame, middle: float = 306.0) -> Da
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:
-    """Lines with ``reason`` of a break before them (null inside a paragraph) and ``paragraph``.
+    """Lines (doc_id, page, region, line_id, x, right, y, font_size, font) with ``reason`` of a break before them
+    (null inside a paragraph) and ``paragraph``, counted in their region.
 
-    The reasons in order: page, font-size beyond 15 %, font-change, line-gap beyond 1.8 (1.45 after a
-    short line) of the size, indent beyond 0.6.
+    Every line is compared with the one before it in its region, downwards, in ems of that line.  The reasons in order:
+    start, side-by-side up to 0.3, font-size beyond 15 %, font-change, line-gap beyond 1.8 (1.45 after a line that
+    ends 20 % of the width early), indent beyond 0.6 unless both lines are centred.  A missing font equals a missing
+    one; a line without size or place breaks by no distance.
     """
-    w = Window.partitionBy("doc_id").orderBy("item_id")
+    keys = ["doc_id", "page", "region"]
+    w = Window.partitionBy(*keys).orderBy(F.col("y").desc(), "x", "line_id")
     before = lambda c: F.lag(c).over(w)
-    size = F.greatest("font_size", before("font_size"))
-    pitch = (before("y") - F.col("y")) / size
-    ratio = F.col("font_size") / before("font_size")
-    short = before("width") < before("room") * 0.6
+    extents = region_extents(lines, keys)
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
+    placed = lines.alias("l").join(extents.alias("e"), same, "left").select("l.*", "e.left", "e.right_edge")
+    width = F.col("right_edge") - F.col("left")
+    middle = F.abs((F.col("x") + F.col("right")) / 2 - (F.col("left") + F.col("right_edge")) / 2)
+    centred = (middle < width * 0.08) & (F.col("right") - F.col("x") < width * 0.85)
+    stated = placed.withColumn("centred", centred).withColumn("short", F.col("right_edge") - F.col("right") > width * 0.2)
+    em, pitch = before("font_size"), before("y") - F.col("y")
+    ratio = F.col("font_size") / em
     reason = (
-        F.when(before("item_id").isNull(), "start")
-        .when(before("page") != F.col("page"), "page")
-        .when((ratio > 1.15) | (ratio < 0.85), "font-size")
-        .when(pitch > F.when(short, 1.45).otherwise(1.8), "line-gap")
-        .when(F.col("x") - before("x") > size * 0.6, "indent")
+        F.when(before("line_id").isNull(), "start")
+        .when(pitch <= em * 0.3, "side-by-side")
+        .when((ratio < 0.85) | (ratio > 1.15), "font-size")
+        .when(~F.col("font").eqNullSafe(before("font")), "font-change")
+        .when(pitch > F.when(before("short"), 1.45).otherwise(1.8) * em, "line-gap")
+        .when(~(F.col("centred") & before("centred")) & (F.col("x") - before("x") > em * 0.6), "indent")
     )
-    room = F.max("width").over(Window.partitionBy("doc_id", "page"))
-    marked = lines.withColumn("room", room).withColumn("reason", reason)
-    return marked.withColumn("paragraph", F.sum(F.when(F.col("reason").isNotNull(), 1).otherwise(0)).over(w)).drop("room")
+    marked = stated.withColumn("reason", reason)
+    return marked.withColumn("paragraph", F.sum(F.when(F.col("reason").isNotNull(), 1).otherwise(0)).over(w)).drop("left", "right_edge", "centred", "short")
 
 
 def reading_order(blocks: DataFrame) -> DataFrame:

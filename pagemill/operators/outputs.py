@@ -104,3 +104,27 @@ def abstract_units(blocks: DataFrame, most: int = 5) -> DataFrame:
     stop = (F.col("ord") > F.col("s_ord")) & (F.col("type").isin("HEADING", "TITLE") | (F.col("page") > F.col("s_page") + 1))
     before = started.withColumn("s_stops", F.sum(stop.cast("int")).over(w)).where("s_stops = 0 AND translate").where(~F.col("type").isin("HEADER", "FOOTER"))
     return before.withColumn("s_n", F.row_number().over(w)).where(F.col("s_n") <= most).drop("s_ord", "s_page", "s_stops", "s_n")
+
+
+def destination_top(kind: Column, args: Column) -> Column:
+    """The y that an outline's destination names among its arguments, by its kind; null for kinds without one."""
+    place = F.when(kind == "XYZ", 1).when(kind.isin("FitH", "FitBH"), 0).when(kind == "FitR", 3)
+    top = F.get(args, place)
+    return F.when(~F.isnan(top) & (F.abs(top) < F.lit(float("inf"))), top)
+
+
+def outline_order(items: DataFrame, levels: int = 8, most: int = 2000) -> DataFrame:
+    """Outline items (doc_id, item_id, parent_id, ord) with ``depth`` and ``rank`` in depth-first order.
+
+    Items deeper than ``levels`` below the top, those beyond the first ``most`` of a document and those whose parent is not
+    there are left out, as an outline's reader does.  A parent that stands below its own child is never reached.
+    """
+    step = F.struct("ord", "item_id")
+    level = items.where(F.col("parent_id").isNull()).withColumn("path", F.array(step)).withColumn("depth", F.lit(0))
+    found = level
+    for depth in range(1, levels + 1):
+        above = level.select("doc_id", F.col("item_id").alias("parent_id"), F.col("path").alias("above"))
+        level = items.join(above, ["doc_id", "parent_id"]).select(*[F.col(c) for c in items.columns], F.concat("above", F.array(step)).alias("path"), F.lit(depth).alias("depth"))
+        found = found.unionByName(level)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("path")))
+    return ranked.where(F.col("rank") <= most).drop("path")

@@ -154,3 +154,28 @@ def introduced_by_table(bands: DataFrame, lines: DataFrame) -> DataFrame:
     near = bands.join(captions, ["doc_id", "page"]).where(away <= CAPTION_REACH * F.col("body_size"))
     kind = near.groupBy("doc_id", "page", "band").agg(F.min_by("kind", F.struct(away.alias("away"), "line_id")).alias("nearest"))
     return bands.join(kind, ["doc_id", "page", "band"], "left").withColumn("table", F.coalesce(F.col("nearest") == "TABLE", F.lit(False))).drop("nearest")
+
+
+def shaded_columns(fills: DataFrame, tables: DataFrame) -> DataFrame:
+    """(table_id, left, right) of the columns that shading draws: horizontal extents, to half a point, of fills on two rows or more.
+
+    ``fills`` are (table_id, fill_id, x0, y0, x1, y1), ``tables`` (table_id, left, right, top, bottom) of the text.  An extent that
+    holds a narrower one is left out.  A table has none if fewer than three are left, two overlap by more than a point,
+    or they cover less than 70 % of the text.
+    """
+    half = lambda c: F.floor(F.col(c) * 2 + 0.5)
+    t = tables.select("table_id", F.col("left").alias("t_left"), F.col("right").alias("t_right"), "top", "bottom")
+    near = fills.join(t, "table_id").where((F.col("y0") <= F.col("top")) & (F.col("y1") >= F.col("bottom")) & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+    first = lambda c: F.min_by(c, "fill_id")
+    by = near.groupBy("table_id", "t_left", "t_right", half("x0").alias("k0"), half("x1").alias("k1"))
+    drawn = by.agg(first("x0").alias("left"), first("x1").alias("right"), F.count_distinct(half("y0")).alias("rows")).where("rows >= 2")
+    inner = drawn.select("table_id", F.col("left").alias("i_left"), F.col("right").alias("i_right"))
+    holds = (F.col("i_left") >= F.col("left") - 0.5) & (F.col("i_right") <= F.col("right") + 0.5) & (F.col("i_right") - F.col("i_left") < F.col("right") - F.col("left") - 0.5)
+    d, i = drawn.alias("d"), inner.alias("i")
+    finest = d.join(i, (F.col("d.table_id") == F.col("i.table_id")) & holds, "left_anti")
+    w = Window.partitionBy("table_id")
+    clash = F.col("left") < F.lag("right").over(w.orderBy("left", F.col("right").desc())) - 1
+    part = F.greatest(F.lit(0.0), F.least("right", "t_right") - F.greatest("left", "t_left"))
+    judged = finest.withColumn("clash", F.coalesce(clash, F.lit(False))).withColumn("part", part)
+    whole = judged.withColumn("n", F.count("*").over(w)).withColumn("clashes", F.max("clash").over(w)).withColumn("covered", F.sum("part").over(w))
+    return whole.where((F.col("n") >= 3) & ~F.col("clashes") & (F.col("covered") >= (F.col("t_right") - F.col("t_left")) * 0.7)).select("table_id", "left", "right")

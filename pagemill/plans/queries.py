@@ -11,7 +11,7 @@ from ..functions import citations, fitting, numeric, predicates, risk, scripts,
 from ..operators import batching, layout, render, sampling, scope, sections, spatial, tables, translate, units
 from ..sources.synth import text_items
 from ..streaming import limiter
-from . import more
+from . import detection, more
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -390,19 +390,6 @@ def gap_lines(spark, sf_dir):
     return lined.groupBy("doc_id", "y", F.col("line").cast("long").alias("line")).agg(F.count("*").alias("items"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("width")).alias("x1"))
 
 
-@_query(
-    f"""WITH {_ITEMS}, l AS (SELECT *, length(text) * 0.5 * font_size AS width, CASE WHEN item_id % 13 = 4 THEN 58.0 ELSE 50.0 END AS lx FROM (SELECT * REPLACE (y - CASE WHEN item_id % 9 >= 5 THEN 12 ELSE 0 END AS y) FROM items)),
-m AS (SELECT *, max(width) OVER (PARTITION BY doc_id, page) AS room FROM l),
-b AS (SELECT *, lag(item_id) OVER w AS pi, lag(page) OVER w AS pp, lag(font_size) OVER w AS pf, lag(y) OVER w AS py, lag(lx) OVER w AS px, lag(width) OVER w AS pw, lag(room) OVER w AS pr FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY item_id)),
-c AS (SELECT doc_id, CASE WHEN pi IS NULL THEN 'start' WHEN pp <> page THEN 'page' WHEN font_size / pf > 1.15 OR font_size / pf < 0.85 THEN 'font-size'
-  WHEN (py - y) / greatest(font_size, pf) > CASE WHEN pw < pr * 0.6 THEN 1.45 ELSE 1.8 END THEN 'line-gap' WHEN lx - px > greatest(font_size, pf) * 0.6 THEN 'indent' END AS reason FROM b)
-SELECT reason, count(*)::BIGINT AS n FROM c WHERE reason IS NOT NULL GROUP BY 1"""
-)
-def paragraphs(spark, sf_dir):
-    items = text_items(_t(spark, sf_dir, "documents")).withColumn("y", F.col("y") - F.when(F.col("item_id") % 9 >= 5, 12.0).otherwise(0.0)).withColumn("x", F.when(F.col("item_id") % 13 == 4, 58.0).otherwise(50.0))
-    return layout.paragraphs(items).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
-
-
 _BLOCKS = """
 blk AS (SELECT doc_id, page, item_id AS block_id, y AS top, x, CASE item_id % 6 WHEN 0 THEN 'SPANNING' WHEN 1 THEN 'LEFT' WHEN 2 THEN 'RIGHT' WHEN 3 THEN 'LEFT' WHEN 4 THEN 'RIGHT' ELSE 'LEFT' END AS col FROM items)"""
 
@@ -650,8 +637,8 @@ def block_backgrounds(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _Q | more.queries()
+    return _Q | more.queries() | detection.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | more.oracle_sql()
+    return _SQL | more.oracle_sql() | detection.oracle_sql()
