@@ -15,6 +15,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` by key in as many partitions as the session shuffles into.
+
+    Adaptive execution would merge them by their bytes; a step in Python takes long over few bytes.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fold(rows: DataFrame, keys: list[str], order: list, start: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, tuple]], out: str) -> DataFrame:
     """``rows`` with the columns ``out``, made by ``step(state, row) -> (state, values)`` along each key's order.
 
@@ -39,5 +47,4 @@ def fold(rows: DataFrame, keys: list[str], order: list, start: Callable[[], Any]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(c), t) for c, t in zip(columns, kinds))], names)
 
     types = to_arrow_schema(schema)
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return dealt.mapInArrow(run, schema)
+    return dealt(rows, keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -7,6 +7,8 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .folds import dealt
+
 # The budget, and what each pass takes at most.
 BUDGET, EXCERPT, TITLE, OPENING, HEADING, CAPTION, DENSE = 7000, 1200, 300, 900, 120, 300, 600
 OPENINGS, CAPTIONS, DEFINITIONS = 5, 8, 10
@@ -97,4 +99,4 @@ def term_samples(units: DataFrame, size: int = BUDGET) -> DataFrame:
         rows = samples_of(list(pdf.sort_values("ord").itertuples(index=False)), size)
         return pd.DataFrame([(key[0], i, *r) for i, r in enumerate(rows)], columns=["doc_id", "seq", "pass", "excerpt"])
 
-    return units.groupBy("doc_id").applyInPandas(run, SAMPLES)
+    return dealt(units, ["doc_id"]).groupBy("doc_id").applyInPandas(run, SAMPLES)

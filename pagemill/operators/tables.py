@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .folds import dealt
 
 # Fixed values, in em of the cell size unless said otherwise.
 ROW, FRAGMENT, BAND, BAND_LEAST, OVERLAP, OVERLAP_LEAST, PITCH = 0.5, 0.75, 0.35, 3.0, 0.15, 1.5, 1.6
@@ -155,4 +156,5 @@ def table_cells(items: DataFrame) -> DataFrame:
             out = [(doc, table, page, None, None, None, None, None, [], None, None, None, status)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in CELLS.split(", ")]).astype({"row": "Int32", "column": "Int32", "col_span": "Int32"})
 
-    return items.groupBy("doc_id", "table_id", "page").applyInPandas(run, CELLS)
+    keys = ["doc_id", "table_id", "page"]
+    return dealt(items, keys).groupBy(*keys).applyInPandas(run, CELLS)
