@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .folds import held
 from .scope import page_runs, run_suffix
 
 
@@ -42,17 +43,25 @@ def output_pages(ranges: DataFrame, key: str) -> DataFrame:
 
 
 def subtree(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(doc_id, root, node): the chapters at or below each root; ``edges`` (doc_id, node, parent) form trees."""
-    spark = edges.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE down AS (
-          SELECT r.doc_id, r.root, r.root AS node FROM {roots} r
-          UNION ALL
-          SELECT d.doc_id, d.root, e.node FROM down d JOIN {edges} e ON e.doc_id = d.doc_id AND e.parent = d.node)
-        SELECT doc_id, root, node FROM down""",
-        roots=roots,
-        edges=edges,
-    )
+    """(doc_id, root, node): the chapters at or below each root; ``edges`` (doc_id, node, parent) form trees.
+
+    Every round doubles the steps upwards that have been followed, so a tree may be of any depth and size, and the
+    rounds are the logarithm of its depth.  A chapter below itself is an error.
+    """
+    own = ["doc_id", "node"]
+    steps = edges.where(F.col("parent").isNotNull()).select(*own, F.col("parent").alias("up"))
+    found = roots.select("doc_id", "root", F.col("root").alias("node"))
+    followed, most = 1, None
+    while True:
+        below = steps.join(found.withColumnRenamed("node", "up"), ["doc_id", "up"]).select("doc_id", "root", "node")
+        found = held(found.unionByName(below))
+        steps = held(steps.join(steps.select("doc_id", F.col("node").alias("up"), F.col("up").alias("next")), ["doc_id", "up"]).select(*own, F.col("next").alias("up")))
+        followed *= 2
+        if steps.isEmpty():
+            return found
+        most = edges.count() if most is None else most
+        if followed > most:
+            raise ValueError("a chapter stands below itself")
 
 
 def snap_outline(outline: DataFrame, blocks: DataFrame) -> DataFrame:
