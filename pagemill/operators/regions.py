@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import predicates as P
 from .folds import fold
+from .sweep import by_page, next_overlapping, numbers, ranks, said
 
 # Tolerances in em or points.
 BASELINE, GAP_LOW, GAP_HIGH = 0.5, -0.5, 2.0
@@ -110,14 +114,32 @@ def ruled_apart(pairs: DataFrame, rules: DataFrame) -> DataFrame:
     return pairs.join(hit, ["doc_id", "page", "pair_id"], "left").withColumn("ruled", F.coalesce("ruled", F.lit(False)))
 
 
+def _edges(rules: DataFrame) -> DataFrame:
+    return said(rules.select("doc_id", "page", F.col("x0").alias("r0"), F.col("x1").alias("r1"), F.col("y").alias("ry")), ["r0", "r1", "ry"])
+
+
 def nearest_rules(cells: DataFrame, rules: DataFrame) -> DataFrame:
-    """Cells (doc_id, page, cell_id, left, right, min_top, max_bottom) with the rules next above and below over their columns."""
-    r = rules.select("doc_id", "page", F.col("x0").alias("r0"), F.col("x1").alias("r1"), F.col("y").alias("ry"))
-    over = (F.col("r1") > F.col("left")) & (F.col("r0") < F.col("right"))
-    keys = ["doc_id", "page", "cell_id"]
-    above, below = F.min(F.when(over & (F.col("ry") >= F.col("min_top")), F.col("ry"))), F.max(F.when(over & (F.col("ry") <= F.col("max_bottom")), F.col("ry")))
-    found = cells.join(r, ["doc_id", "page"], "left").groupBy(*keys).agg(above.alias("rule_above"), below.alias("rule_below"))
-    return cells.join(found, keys)
+    """Cells (doc_id, page, cell_id, left, right, min_top, max_bottom) with the rules next above and below over their columns.
+
+    Cells without a document or page have none.
+    """
+    keys, r = ["doc_id", "page", "cell_id"], _edges(rules)
+    c = said(cells.select(*keys, "left", "right", "min_top", "max_bottom"), ["left", "right"])
+    schema = StructType([*c.schema.fields[:3], *(StructField(n, r.schema["ry"].dataType) for n in ("rule_above", "rule_below"))])
+
+    def run(c: pa.Table, r: pa.Table) -> pa.Table:
+        by = np.argsort(*numbers(r, "ry"), kind="stable")
+        r = r.take(by)
+        r0, r1, left, right = ranks(*numbers(r, "r0", "r1"), *numbers(c, "left", "right"))
+        y, top, bottom = ranks(*numbers(r, "ry"), *numbers(c, "min_top", "max_bottom"))
+        above = next_overlapping(r0, r1, np.searchsorted(y, top, "left"), left, right)
+        below = next_overlapping(r0[::-1], r1[::-1], len(y) - np.searchsorted(y, bottom, "right"), left, right)
+        some = [(at >= 0) & c.column(n).is_valid().to_numpy() for at, n in ((above, "min_top"), (below, "max_bottom"))]
+        at = [pa.array(place, mask=~good) for place, good in zip((above, len(y) - 1 - below), some)]
+        return pa.table([*(c.column(k) for k in keys), *(r.column("ry").take(i) for i in at)], schema.names)
+
+    found = by_page(c, r, run, schema).groupBy(*keys).agg(F.min("rule_above").alias("rule_above"), F.max("rule_below").alias("rule_below"))
+    return cells.join(found, keys, "left")
 
 
 def replace_by_cells(blocks: DataFrame, cells: DataFrame) -> DataFrame:

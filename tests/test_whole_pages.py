@@ -1,10 +1,12 @@
 """Outlines, trees and pages that are larger or odder than those of the tables."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from pagemill.operators import outputs
+from pagemill.operators import outputs, regions
 
 
 def test_subtree_of_any_depth(spark):
@@ -19,3 +21,47 @@ def test_subtree_of_a_cycle_ends(spark):
     edges = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (1, 3, None)], "doc_id long, node long, parent long")
     with pytest.raises(ValueError):
         outputs.subtree(edges, spark.createDataFrame([(1, 1)], "doc_id long, root long"))
+
+
+def coordinates(rng, n, most=12):
+    odd = [float("nan"), -0.0, float("inf"), None]
+    return [rng.choice(odd) if rng.random() < 0.03 else float(rng.randrange(most)) for _ in range(n)]
+
+
+def pages(rng, n):
+    return [(rng.choice([1, 1, 1, 2, None]), rng.choice([0, 0, 1, None])) for _ in range(n)]
+
+
+def test_cells_and_rules_as_their_join(spark):
+    rng = random.Random(12)
+    for n, most in ((1, 3), (60, 12), (300, 40)):
+        columns = [coordinates(rng, n, most) for _ in range(4)]
+        cells = spark.createDataFrame([(*k, i, *v) for i, (k, *v) in enumerate(zip(pages(rng, n), *columns))] + [(9, 9, n, 1.0, 2.0, 3.0, 4.0)], "doc_id long, page int, cell_id long, left double, right double, min_top double, max_bottom double")
+        rules = spark.createDataFrame([(*k, *v) for k, *v in zip(pages(rng, n), *[coordinates(rng, n, most) for _ in range(3)])], "doc_id long, page int, x0 double, x1 double, y double")
+        met = cells.join(rules, ["doc_id", "page"]).where("x1 > left and x0 < right")
+        near = met.groupBy("cell_id").agg(F.expr("min(CASE WHEN y >= min_top THEN y END) AS rule_above"), F.expr("max(CASE WHEN y <= max_bottom THEN y END) AS rule_below"))
+        want = cells.select("cell_id").join(near, "cell_id", "left")
+        got = regions.nearest_rules(cells, rules).select("cell_id", "rule_above", "rule_below")
+        same = lambda df: sorted(repr(tuple(v + 0.0 if isinstance(v, float) else v for v in r)) for r in df.collect())
+        assert same(got) == same(want)
+
+
+def crowded(spark):
+    """One page of 80,000 rows as points, boxes, cells and rules: 6.4 billion pairs."""
+    rows = spark.range(80_000).selectExpr("1L AS doc_id", "1 AS page", "id", "double(id * 7919 % 80021) AS x", "double(id * 104729 % 80039) AS y")
+    points = rows.selectExpr("doc_id", "page", "id AS item_id", "x AS px", "y AS py")
+    boxes = rows.selectExpr("doc_id", "page", "id AS box_id", "id AS seq", "'#000001' AS color", "x AS x0", "y AS y0", "x + id % 900 AS x1", "y + id % 700 AS y1")
+    cells = rows.selectExpr("doc_id", "page", "id AS cell_id", "id AS pair_id", "x AS left", "x + 40 AS right", "y + 12 AS min_top", "y AS max_bottom", "y + 32 AS upper_y", "y AS lower_y", "8.0D AS font_size")
+    return points, boxes, cells, rows.selectExpr("doc_id", "page", "x AS x0", "x + 300 AS x1", "y")
+
+
+@pytest.mark.parametrize(
+    "search",
+    [
+        lambda points, boxes, cells, rules: regions.nearest_rules(cells, rules),
+    ],
+)
+def test_a_crowded_page_takes_no_pairs(spark, search):
+    began = time.time()
+    assert search(*crowded(spark)).count() == 80_000
+    assert time.time() - began < 40
