@@ -108,10 +108,17 @@ def is_page_furniture(x0: Column, x1: Column, y: Column, horizontal: Column, pag
 def ruled_apart(pairs: DataFrame, rules: DataFrame) -> DataFrame:
     """Pairs (doc_id, page, pair_id, left, right, upper_y, lower_y, font_size) with ``ruled``: a rule lies between their baselines."""
     lo, hi = F.col("lower_y") + RULE_ABOVE * F.col("font_size"), F.col("upper_y") - RULE_BELOW * F.col("font_size")
-    r = rules.select("doc_id", "page", F.col("x0").alias("r0"), F.col("x1").alias("r1"), F.col("y").alias("ry"))
-    met = pairs.join(r, ["doc_id", "page"]).where((F.col("ry") > lo) & (F.col("ry") < hi) & (F.col("r1") > F.col("left")) & (F.col("r0") < F.col("right")))
-    hit = met.select("doc_id", "page", "pair_id").distinct().withColumn("ruled", F.lit(True))
-    return pairs.join(hit, ["doc_id", "page", "pair_id"], "left").withColumn("ruled", F.coalesce("ruled", F.lit(False)))
+    keys = ["doc_id", "page", "pair_id"]
+    p = said(pairs.select(*keys, "left", "right", lo.alias("lo"), hi.alias("hi")), ["left", "right", "lo", "hi"])
+
+    def run(p: pa.Table, r: pa.Table) -> pa.Table:
+        (r0, r1, left, right), (y, low, high) = ranks(*numbers(r, "r0", "r1"), *numbers(p, "left", "right")), ranks(*numbers(r, "ry"), *numbers(p, "lo", "hi"))
+        by = np.argsort(y, kind="stable")
+        at = next_overlapping(r0[by], r1[by], np.searchsorted(y[by], low, "right"), left, right)
+        return p.take(np.flatnonzero((at >= 0) & (y[by][at] < high)))
+
+    hit = by_page(p, _edges(rules), run, p.select(*keys).schema).distinct().withColumn("ruled", F.lit(True))
+    return pairs.join(hit, keys, "left").withColumn("ruled", F.coalesce("ruled", F.lit(False)))
 
 
 def _edges(rules: DataFrame) -> DataFrame:

@@ -59,6 +59,10 @@ def test_cells_and_rules_as_their_join(spark):
         got = regions.nearest_rules(cells, rules).select("cell_id", "rule_above", "rule_below")
         same = lambda df: sorted(repr(tuple(v + 0.0 if isinstance(v, float) else v for v in r)) for r in df.collect())
         assert same(got) == same(want)
+        pairs = cells.selectExpr("doc_id", "page", "cell_id AS pair_id", "left", "right", "min_top AS upper_y", "max_bottom AS lower_y", "1.0D AS font_size")
+        hit = pairs.join(rules, ["doc_id", "page"]).where("x1 > left and x0 < right and y > lower_y + 0.55D * font_size and y < upper_y - 0.2D * font_size").select("pair_id").distinct().withColumn("ruled", F.lit(True))
+        want = pairs.select("pair_id").join(hit, "pair_id", "left").select("pair_id", F.coalesce("ruled", F.lit(False)))
+        assert sorted(map(tuple, regions.ruled_apart(pairs, rules).select("pair_id", "ruled").collect())) == sorted(map(tuple, want.collect()))
 
 
 def crowded(spark):
@@ -75,6 +79,7 @@ def crowded(spark):
     [
         lambda points, boxes, cells, rules: regions.nearest_rules(cells, rules),
         lambda points, boxes, cells, rules: spatial.smallest_container(points, boxes),
+        lambda points, boxes, cells, rules: regions.ruled_apart(cells, rules),
     ],
 )
 def test_a_crowded_page_takes_no_pairs(spark, search):
