@@ -9,6 +9,9 @@ from ..functions import text
 from .folds import held
 from .scope import page_runs, run_suffix
 
+# Fixed value: letters that a title shares at least with a longer one.
+PREFIX = 6
+
 
 def scope_fingerprint(mode: Column, start: Column, end: Column, chapters: Column) -> Column:
     """``all``, ``pages:a-b`` or ``chapters:n:ids``; long lists of ids as their hash."""
@@ -68,17 +71,37 @@ def snap_outline(outline: DataFrame, blocks: DataFrame) -> DataFrame:
     """Outline entries (doc_id, entry, title, page) with the block that they mean, or null.
 
     Headings and titles on the entry's page or later come first, by page and height; then short blocks on
-    its page.  Titles match when one is the other or a prefix of it, so both sides meet on their first six
-    letters, or whole where they are shorter.
+    its page.  Titles match when one is the other or a prefix of it of six letters or more.  Equal titles of a page
+    collapse on both sides; a title and its prefixes meet the texts and their prefixes, so no pairs are made, and the next
+    page with a heading is a running minimum.
     """
-    key = lambda c: F.substring(text.normalize_title(c), 1, 6)
-    o = outline.withColumn("t_key", key(F.col("title")))
-    b = blocks.select("doc_id", "block_id", F.col("page").alias("b_page"), "top", "type", "line_count", "cell", F.col("text").alias("b_text"), key(F.col("text")).alias("t_key")).where("t_key <> ''")
     heading = F.col("type").isin("HEADING", "TITLE")
-    loose = (F.col("b_page") == F.col("page")) & (F.col("line_count") <= 2) & ~F.col("type").isin("HEADER", "FOOTER") & ~F.col("cell")
-    met = o.join(b, ["doc_id", "t_key"]).where((heading & (F.col("b_page") >= F.col("page"))) | loose).where(text.title_matches(F.col("b_text"), F.col("title")))
-    best = met.groupBy("doc_id", "entry").agg(F.min_by("block_id", F.struct(F.when(heading, 0).otherwise(1).alias("r"), "b_page", (-F.col("top")).alias("t"), "block_id")).alias("block_id"))
-    return outline.join(best, ["doc_id", "entry"], "left").select("doc_id", "entry", "block_id")
+    loose = (F.col("line_count") <= 2) & ~F.col("type").isin("HEADER", "FOOTER") & ~F.col("cell")
+    name = lambda c: text.normalize_title(F.col(c)).alias("name")
+    short = F.length("name") < PREFIX
+    prefixes = F.when(short, F.array("name")).otherwise(F.transform(F.sequence(F.lit(PREFIX), F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n)))
+    rank = F.struct(F.when(heading, 0).otherwise(1).alias("r"), F.col("page").alias("b_page"), (-F.col("top")).alias("t"), "block_id").alias("best")
+    fits = F.coalesce(heading, F.lit(False)) | F.coalesce(loose, F.lit(False))
+    b = blocks.select("doc_id", "page", name("text"), rank, fits.alias("fits")).where("fits AND name <> '' AND page IS NOT NULL")
+    b = b.groupBy("doc_id", "page", "name", F.col("best.r").alias("r")).agg(F.min("best").alias("best"))
+    o = outline.select("doc_id", "entry", "page", name("title")).where("name <> '' AND page IS NOT NULL")
+    asked = o.select("doc_id", "page", "name").distinct()
+    # a text under its prefixes meets whole titles; whole texts meet titles under their prefixes of six letters or more
+    wide = lambda df, *own: df.select("doc_id", "page", "name", *own, F.explode(prefixes).alias("part"))
+    no_block, no_title = F.lit(None).cast(b.schema["best"].dataType).alias("best"), F.lit(None).cast("string").alias("name")
+    met = None
+    for there, here in ((wide(b, "r", "best"), asked.select("doc_id", "page", "name", F.col("name").alias("part"))), (b.select("*", F.col("name").alias("part")), wide(asked))):
+        texts = there.groupBy("doc_id", "part", "page", "r").agg(F.min("best").alias("best"))
+        both = texts.select("doc_id", "part", "page", "r", "best", no_title).unionByName(here.select("doc_id", "part", "page", F.lit(None).cast("int").alias("r"), no_block, "name"))
+        # pages from the last to the first; a page's own blocks are peers of its titles
+        later = Window.partitionBy("doc_id", "part").orderBy(F.col("page").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        own = Window.partitionBy("doc_id", "part", "page")
+        found = both.withColumn("next", F.min(F.when(F.col("r") == 0, F.col("best"))).over(later)).withColumn("own", F.min(F.when(F.col("r") == 1, F.col("best"))).over(own))
+        found = found.where("name IS NOT NULL").select("doc_id", "page", "name", F.coalesce("next", "own").alias("best"))
+        met = found if met is None else met.unionByName(found)
+    titles = met.groupBy("doc_id", "page", "name").agg(F.min("best").alias("best"))
+    best = o.join(titles, ["doc_id", "page", "name"]).groupBy("doc_id", "entry").agg(F.min("best").alias("best"))
+    return outline.join(best, ["doc_id", "entry"], "left").select("doc_id", "entry", F.col("best.block_id").alias("block_id"))
 
 
 def developer_sample(units: DataFrame, most: int = 8) -> DataFrame:

@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill.functions import text
 from pagemill.operators import outputs, regions, spatial
 
 
@@ -92,3 +93,28 @@ def test_a_crowded_page_takes_no_pairs(spark, search):
     began = time.time()
     assert search(*crowded(spark)).count() == 80_000
     assert time.time() - began < 40
+
+
+def test_outline_headings_as_their_join(spark):
+    rng = random.Random(13)
+    titles = ["Method", "Methods", "Methods and data", "METHODS, and", "Res", "Re", "Resu", "", "--", None, "Methodology", "Results of all", "Results"]
+    name = lambda: rng.choice(titles)
+    entries = [(rng.choice([1, 2, None]), i % 90, name(), rng.choice([1, 2, 3, 4, None])) for i in range(100)]
+    blocks = [(rng.choice([1, 2, None]), i, rng.choice([1, 2, 3, 4, None]), rng.choice([1.0, 2.0, None, float("nan")]), rng.choice(["HEADING", "TITLE", "BODY", "BODY", "HEADER", None]), rng.choice([1, 2, 3]), rng.random() < 0.2, name()) for i in range(60)]
+    outline = spark.createDataFrame(entries, "doc_id long, entry long, title string, page int")
+    found = spark.createDataFrame(blocks, "doc_id long, block_id long, page int, top double, type string, line_count int, cell boolean, text string")
+    b = found.select("doc_id", "block_id", F.col("page").alias("b_page"), "top", "type", "line_count", "cell", F.col("text").alias("b_text"))
+    heading = F.col("type").isin("HEADING", "TITLE")
+    loose = (F.col("b_page") == F.col("page")) & (F.col("line_count") <= 2) & ~F.col("type").isin("HEADER", "FOOTER") & ~F.col("cell")
+    met = outline.join(b, "doc_id").where((heading & (F.col("b_page") >= F.col("page"))) | loose).where(text.title_matches(F.col("b_text"), F.col("title")))
+    best = met.groupBy("doc_id", "entry").agg(F.min_by("block_id", F.struct(F.when(heading, 0).otherwise(1), "b_page", -F.col("top"), "block_id")).alias("block_id"))
+    want = outline.join(best, ["doc_id", "entry"], "left").select("doc_id", "entry", "block_id")
+    assert sorted(map(repr, outputs.snap_outline(outline, found).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_outline_of_equal_titles_takes_no_pairs(spark):
+    rows = spark.range(200_000).selectExpr("1L AS doc_id", "id AS entry", "id AS block_id", "'Methods' AS title", "'Methods and' AS text", "int(id % 5) AS page", "double(id) AS top", "'HEADING' AS type", "1 AS line_count", "false AS cell")
+    began = time.time()
+    got = outputs.snap_outline(rows.select("doc_id", "entry", "title", "page"), rows.drop("entry", "title")).groupBy("block_id").count().collect()
+    assert sorted(map(tuple, got)) == [(199_995 + p, 40_000) for p in range(5)]
+    assert time.time() - began < 40
