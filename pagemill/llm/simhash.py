@@ -45,6 +45,11 @@ def simhash(text: str | None, shingle: int = 3, fold: bool = True) -> int:
         hashes = [digest(b"%b %b %b" % t, 42) for t in zip(words, words[1:], words[2:])]
     else:
         hashes = [digest(b" ".join(words[i : i + shingle]), 42) for i in range(len(words) - shingle + 1)]
+    return majority(hashes)
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits set in over half of the hashes, 0 without any."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[at : at + (1 << 16)], "<u8")
@@ -122,10 +127,11 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, fold: bo
 
 # ---------------------------------------------------------------- lower similarity
 
-# Two texts of five-word shingles that are 0.8 alike differ in about 0.15 of their SimHash bits, far
+# Texts first meet by ball hashing of their SimHash, and what meets is verified on the sets of shingles.  Two
+# texts of five-word shingles that are 0.8 alike differ in about 0.15 of their SimHash bits, far
 # beyond a radius that a ball of variants can cover, and slices of a wider fingerprint lose a third of such
-# pairs.  So texts meet here by bands of least hashes (a band is shared with probability similarity ** BAND,
-# however short or long the texts are), and what meets in any band is verified on the sets of shingles.
+# pairs.  So what the balls leave apart meets again by bands of least hashes (a band is shared with probability
+# similarity ** BAND, however short or long the texts are), and is verified likewise.
 
 
 def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -217,16 +223,18 @@ def pivot_pairs(sketch: np.ndarray, similarity: float) -> Iterator[tuple[np.ndar
 
 
 def meeting_pairs(similarity: float):
-    """A mapInArrow function over sorted (variant, node, size, sketch) that yields plausible pairs (a, b).
+    """A mapInArrow function over sorted (variant, node, root, size, sketch) that yields plausible pairs (a, b) of different roots.
 
     All pairs of small meetings; of larger ones, which are read in parts, those of ``pivot_pairs``.
     """
 
     def pairs_of(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        node, size = (t.column(c).to_numpy() for c in ("node", "size"))
+        node, root, size = (t.column(c).to_numpy() for c in ("node", "root", "size"))
+        if (root == root[0]).all():
+            return
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
         for p, q in [np.triu_indices(len(node), 1)] if len(node) <= SMALL else pivot_pairs(sketch, similarity):
-            near = plausible(p, q, size, sketch, similarity)
+            near = (root[p] != root[q]) & plausible(p, q, size, sketch, similarity)
             x, y = node[p[near]], node[q[near]]
             yield np.maximum(x, y), np.minimum(x, y)
 
@@ -343,10 +351,21 @@ def crossing_links(named: DataFrame, mixed: DataFrame, rows: DataFrame, similari
     return dealt.mapInArrow(lean(tile_links(similarity)), "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def ball_pairs(nodes: DataFrame, radius: int = 2) -> DataFrame:
+    """Texts (node, fp) -> pairs (a, b) of nodes that connect all whose SimHash is within ``radius`` bits, not verified."""
+    distinct = staged(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fps")
+    links = staged(ball_links(distinct.select("fp"), radius), "balls")
+    side = lambda name: distinct.select(F.col("fp").alias(name), F.col("least").alias("n_" + name))
+    met = links.join(side("a"), "a").join(side("b"), "b").select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))
+    same = nodes.join(distinct, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return met.union(same)
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, text_key, keeper: the least (doc_id, text_key) of each row's group.
 
-    Every text emits the keys of its bands.  Small meetings compare all pairs; larger ones first link
+    Texts whose SimHash, over their set of shingles, is within ``radius`` bits meet by ball hashing.  Then every
+    text emits the keys of its bands, for what is alike beyond the balls.  Small meetings compare all pairs; larger ones first link
     their members to a few of them, and then compare all pairs that these links have not joined into one
     component, which need no link any more (``crossing_links``).  A link stands if the Jaccard similarity of
     the sets of shingles is ``similarity`` or more.  Texts with one set of shingles collapse first, so repeated
@@ -362,7 +381,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
             least = [least_hashes(h) for h in hashes]
             keys = [band_keys(v).astype("<u8").tobytes() if len(h) else b"" for h, v in zip(hashes, least)]
             sketch = [v.astype(np.uint8).tobytes() for v in least]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node), *(pa.array(c, pa.binary()) for c in (sets, keys, sketch))], ["doc_id", "text_key", "node", "shingles", "keys", "sketch"])
+            fp = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(node), pa.array(fp), *(pa.array(c, pa.binary()) for c in (sets, keys, sketch))], ["doc_id", "text_key", "node", "fp", "shingles", "keys", "sketch"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -372,13 +392,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    schema = "doc_id long, text_key long, node long, shingles binary, keys binary, sketch binary"
+    schema = "doc_id long, text_key long, node long, fp long, shingles binary, keys binary, sketch binary"
     rows = staged(slim.mapInArrow(lean(marks), schema), "marks")
-    nodes = staged(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first(F.length("shingles")).alias("size")), "nodes")
-    own = nodes.select("keys", "node", "size", "sketch").mapInArrow(lean(emit), "variant long, node long, size int, sketch binary")
+    nodes = staged(rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first(F.length("shingles")).alias("size")), "nodes")
+    balls = staged(verified(staged(ball_pairs(nodes.select("node", "fp"), radius), "meet"), rows, similarity), "near")
+    near = staged(connected_components(balls), "near")
+    rooted = nodes.join(near, "node", "left").select("keys", "node", F.coalesce("root", "node").alias("root"), "size", "sketch")
+    own = rooted.mapInArrow(lean(emit), "variant long, node long, root long, size int, sketch binary")
     dealt = own.repartition(tasks(docs.sparkSession), "variant").sortWithinPartitions("variant", "node")
     first = staged(dealt.mapInArrow(lean(meeting_pairs(similarity)), "a long, b long").distinct(), "pairs")
-    links = staged(verified(first, rows, similarity), "verified")
+    links = staged(verified(first, rows, similarity).union(near.select("node", "root")), "verified")
     roots = staged(connected_components(links), "roots")
     named = nodes.join(roots, "node", "left").select("keys", "node", F.coalesce("root", "node").alias("root"), "size", "sketch")
     slim_keys = named.select("keys", "root", "size").mapInArrow(lean(emit), "variant long, root long, size int")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, staged, tasks
+from .common import BATCH_BYTES, lean, staged, tasks
 
 MAGIC = b"PMD1"
 RANK_STEP = 512
@@ -206,7 +206,7 @@ def write_codes(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
     Documents are dealt out by ranges of doc_id and sorted within them, so (part, seq) is in ascending
     doc_id order.  Null text is empty; equal doc_ids are ordered by text; a null doc_id comes first;
     an empty table gives no segments; other columns are ignored.  A text is encoded whole; memory holds
-    one segment and one batch of texts.
+    one segment, the encoder and one batch of texts, a small one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +241,7 @@ def write_codes(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = slim.repartitionByRange(tasks(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return staged(ordered.mapInArrow(lean(run), "part int, seq int, n_ids long, doc_ids array<long>, segment binary"), "codes")
+    return staged(ordered.mapInArrow(lean(run), "part int, seq int, n_ids long, doc_ids array<long>, segment binary"), "codes", BATCH_BYTES // 4)
 
 
 def read_codes(segments: DataFrame) -> DataFrame:
@@ -258,6 +258,7 @@ def read_codes(segments: DataFrame) -> DataFrame:
     offsets = offsets.select("part", "seq", (F.col("before") + F.col("inside")).alias("start"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoders.clear()  # the workers that wrote the codes hold words that reading does not need
         for batch in batches:
             for part, seq, keys, data in zip(*(batch.column(i) for i in range(4))):
                 reader = DacReader(data.as_py())

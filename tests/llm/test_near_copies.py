@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from pagemill.llm import simhash
 
 
@@ -120,3 +122,27 @@ def test_recall_against_exact_similarity(spark):
         if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
             total, found = total + 1, found + (got[i] == got[j])
     assert total > 20 and found >= 0.99 * total
+
+
+def test_balls_of_simhash_link_before_the_bands(spark, monkeypatch):
+    # without a meeting in a band, what is within two bits of SimHash is grouped all the same, and nothing unlike is
+    def none(similarity):
+        def run(batches):
+            for batch in batches:
+                yield batch.select([1, 1]).slice(0, 0).rename_columns(["a", "b"])
+
+        return run
+
+    monkeypatch.setattr(simhash, "meeting_pairs", none)
+    monkeypatch.setattr(simhash, "SMALL", 10**9)  # no tiles either
+    rng, texts = random.Random(8), ["", "one two three"]
+    for _ in range(40):
+        w = words(rng, 1500)
+        at = rng.randrange(1500)
+        texts += [" ".join(w), " ".join([*w[:at], "other", *w[at + 1 :]])]
+    prints = [simhash.majority(np.unique(simhash.shingle_hashes(t))) for t in texts]
+    near = [i for i in range(2, len(texts), 2) if bin(prints[i] ^ prints[i + 1]).count("1") <= 2]
+    assert len(near) >= 10
+    got = groups(spark, texts)
+    assert [i for i in range(2, len(texts), 2) if got[i + 1] == i] == near
+    assert sum(keeper != doc for doc, keeper in got.items()) == len(near)
