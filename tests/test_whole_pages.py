@@ -72,8 +72,8 @@ def test_cells_and_rules_as_their_join(spark):
 
 
 def crowded(spark):
-    """One page of 80,000 rows as points, boxes, cells and rules: 6.4 billion pairs."""
-    rows = spark.range(80_000).selectExpr("1L AS doc_id", "1 AS page", "id", "double(id * 7919 % 80021) AS x", "double(id * 104729 % 80039) AS y")
+    """One page of 300,000 rows as points, boxes, cells and rules: 90 billion pairs."""
+    rows = spark.range(300_000).selectExpr("1L AS doc_id", "1 AS page", "id", "double(id * 7919 % 300007) AS x", "double(id * 104729 % 300017) AS y")
     points = rows.selectExpr("doc_id", "page", "id AS item_id", "x AS px", "y AS py")
     boxes = rows.selectExpr("doc_id", "page", "id AS box_id", "id AS seq", "'#000001' AS color", "x AS x0", "y AS y0", "x + id % 900 AS x1", "y + id % 700 AS y1")
     cells = rows.selectExpr("doc_id", "page", "id AS cell_id", "id AS pair_id", "x AS left", "x + 40 AS right", "y + 12 AS min_top", "y AS max_bottom", "y + 32 AS upper_y", "y AS lower_y", "8.0D AS font_size")
@@ -91,7 +91,7 @@ def crowded(spark):
 )
 def test_a_crowded_page_takes_no_pairs(spark, search):
     began = time.time()
-    assert search(*crowded(spark)).count() == 80_000
+    assert search(*crowded(spark)).count() == 300_000
     assert time.time() - began < 40
 
 
