@@ -100,6 +100,23 @@ def test_repeated_bytes_equal_brute_force(spark, length):
     assert sorted(map(tuple, got)) == sorted(suffix_dedup.brute_force(rows, length))
 
 
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark):
+    """Fewer bytes stay whole, however many words they are; n_bytes is the input's size, whatever goes."""
+    rnd = random.Random(400)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 6))) for _ in range(n))
+    rows, gone = [], {}
+    for i, size in enumerate([330, 399, 400, 401, 470]):
+        passage = "é é " + words(200)[: size - 6]
+        assert len(passage.encode()) == size and len(passage.split()) > 50
+        for doc, (a, b) in enumerate(["<>", "[]"], 2 * i):
+            rows.append((doc, words(60) + a + passage + b + words(60)))
+            gone[doc] = size if size >= 400 else 0
+    got = suffix_dedup.dedupe(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).drop("kept").collect()
+    assert sorted(map(tuple, got)) == sorted(suffix_dedup.brute_force(rows))
+    assert {r["doc_id"]: r["n_removed"] for r in got} == gone
+    assert {r["doc_id"]: r["n_bytes"] for r in got} == {d: len(t.encode()) for d, t in rows}
+
+
 def test_straddling_groups_equal_brute_force(spark):
     """The comparison across splitters alone, on a large group with common leading bytes."""
     rnd = random.Random(4)
